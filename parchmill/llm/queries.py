@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, neardup, split, tokenize
+from . import abuse, leak, lookalike, neardup, split, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,5 +35,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(spark, table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    posts = table(spark, d, "documents").select("doc_id", "text")
+    return abuse.score_posts(spark, posts).where("score >= 0.5").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_posts(spark, table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.round("score", 6).alias("score")).dropDuplicates(["doc_id"])
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    posts = table(spark, d, "documents").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    return abuse.rates(abuse.score_posts(spark, posts))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
