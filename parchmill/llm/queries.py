@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse, leak, lookalike, neardup, split, tokenize
+from . import abuse, language, leak, lookalike, neardup, sentences, split, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,29 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.select("chunk_uid", "piece_no", "n_pieces", "piece_start", "piece_end", "piece_text", "piece_label", "piece_tokens", "hard_cut").dropDuplicates(["chunk_uid", "piece_no"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    tagger = sentences.fit(table(spark, d, "lang_samples"))
+    out = sentences.unit_ends(spark, table(spark, d, "chunks").select("chunk_uid", "text"), tagger)
+    return out.select("chunk_uid", F.explode("ends").alias("sent_end")).distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    fitted = language.fit(table(spark, d, "lang_samples"))
+    return language.relabel(spark, _records(spark, d), fitted, scanned="scanned").select("tbl", "rec_id", "lang").distinct()
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    fitted = language.fit(table(spark, d, "lang_samples"))
+    out = language.segments(spark, _records(spark, d), fitted, scanned="scanned")
+    return out.select("tbl", "rec_id", F.explode("segments").alias("s")).select("tbl", "rec_id", "s.seg_no", "s.lang", "s.sentences", F.round("s.confidence", 6).alias("confidence"), "s.chars").dropDuplicates(["tbl", "rec_id", "seg_no"])
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "doc_pages").select(F.lit("doc_pages").alias("tbl"), F.col("page_id").alias("rec_id"), "lang", "text", F.lit(True).alias("scanned"))
+    b = table(spark, d, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_uid").alias("rec_id"), "lang", "text", F.lit(False).alias("scanned"))
+    return a.unionByName(b)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(spark, table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
