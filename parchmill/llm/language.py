@@ -79,30 +79,31 @@ def words_of(text: str) -> set[str]:
     return {p for t in text.split() if (p := plain(t))}
 
 
-def train(samples: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """(languages, one row of scores per n-gram slot)."""
+def train(samples: list[tuple[str, str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, n-gram slots, one row of scores per slot)."""
     samples = sorted(samples)[:LANDMARKS]
     langs = sorted({k for k, _ in samples})
-    presence = np.zeros((len(samples), 1 << BITS), np.float32)
-    for i, (_, text) in enumerate(samples):
-        for w in words_of(text):
-            presence[i, list(word_grams(w))] += 1
-    norm = np.linalg.norm(presence, axis=1, keepdims=True)
-    presence /= np.maximum(norm, 1e-9)
-    kernel = presence.astype(np.float64) @ presence.T.astype(np.float64)
+    grams = [[g for w in words_of(text) for g in word_grams(w)] for _, text in samples]
+    slots = np.unique(np.array([g for gs in grams for g in gs], np.int64))
+    presence = np.zeros((len(samples), len(slots)), np.float32)
+    for i, gs in enumerate(grams):
+        np.add.at(presence[i], np.searchsorted(slots, gs), 1)
+    presence /= np.maximum(np.linalg.norm(presence, axis=1, keepdims=True), 1e-9)
+    kernel = (presence @ presence.T).astype(np.float64)
     value, vector = np.linalg.eigh(kernel)
-    keep = value > 1e-8
+    keep = value > 1e-5
     root = vector[:, keep] / np.sqrt(value[keep])  # K^-1/2 of the landmarks
     phi = kernel @ root
     y = np.array([[1.0 if k == g else -1.0 / (len(langs) - 1) for g in langs] for k, _ in samples])
     weight = np.array([1.0 / sum(k == g for g, _ in samples) for k, _ in samples])[:, None] * len(samples) / len(langs)
     ridge = np.linalg.solve(phi.T @ (weight * phi) + RIDGE * np.eye(phi.shape[1]), phi.T @ (weight * y))
-    return langs, (presence.T @ (root @ ridge)).astype(np.float32)
+    return langs, slots, presence.T @ (root @ ridge).astype(np.float32)
 
 
 class Scorer:
-    def __init__(self, langs: list[str], rows: np.ndarray):
-        self.langs, self.gram_rows = langs, rows
+    def __init__(self, langs: list[str], slots: np.ndarray, rows: np.ndarray):
+        self.langs, self.gram_rows = langs, np.zeros((1 << BITS, len(langs)), np.float32)
+        self.gram_rows[slots] = rows
         self.clear()
 
     def clear(self) -> None:
@@ -250,8 +251,8 @@ def _named(name: str, broadcast) -> Detector:
     """The detector of one fit, built once in a worker."""
     if name not in _CACHE:
         _CACHE.clear()
-        (weights, chain), (langs, rows) = broadcast.value
-        _CACHE[name] = Detector(sentences.Tagger(dict(weights), np.array(chain)), Scorer(langs, rows))
+        (weights, chain), scores = broadcast.value
+        _CACHE[name] = Detector(sentences.Tagger(dict(weights), np.array(chain)), Scorer(*scores))
     return _CACHE[name]
 
 
