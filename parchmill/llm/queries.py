@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse, language, leak, lookalike, neardup, sentences, split, tokenize
+from . import abuse, language, leak, lookalike, neardup, scans, sentences, split, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(members, links, "chunk_uid")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_lines(spark, table(spark, d, "doc_pages"))
+
+
+def p3_pages(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_pages(spark, table(spark, d, "doc_pages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks")).where("n_pieces > 1").select("chunk_uid").distinct()
 
