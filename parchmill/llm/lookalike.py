@@ -107,12 +107,21 @@ def member_counts(text: str) -> Counter:
 def representatives(counts: dict[str, int]) -> dict[str, str]:
     """Each member that is not its class's representative, with that representative: the
     most frequent member, then the one of lowest code points. Nothing represents the
-    invisible ones, and the plain blank and line feed represent theirs."""
-    out = {}
+    invisible ones, and the plain blank and line feed represent theirs. A class with a
+    string of several characters is represented by the string, each character by its own
+    representative, so that strings that overlap (ff, fi, ffi) are rewritten alike."""
+    out, strings = {}, []
     for group in classes():
         fixed = [m for m in ("", " ", "\n") if m in group]
+        long = [m for m in group if len(m) > 1 and m != "\r\n"]
+        if long and not fixed:
+            strings.append((group, min(long)))
+            continue
         best = fixed[0] if fixed else min(group, key=lambda m: (-counts.get(m, 0), m))
         out |= {m: best for m in group if m != best}
+    for group, text in strings:
+        best = "".join(out.get(c, c) for c in text)
+        out |= {m: best for m in group if m != best and len(m) == 1}
     return out
 
 

@@ -86,3 +86,18 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    """Those results that SQL can express. White space is spelled out, as DuckDB's own class
+    is ASCII."""
+    space = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    words = f"regexp_extract_all(lower(text), '[^{space}]+')"
+    return {
+        "p2_found": f"""WITH w AS (SELECT chunk_uid, w FROM (SELECT DISTINCT chunk_uid, {words} AS w FROM chunks WHERE text IS NOT NULL) WHERE len(w) >= 20),
+ s AS (SELECT DISTINCT chunk_uid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT chunk_uid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ n AS (SELECT chunk_uid, count(*) AS n FROM s GROUP BY chunk_uid),
+ b AS (SELECT x.chunk_uid AS a, y.chunk_uid AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.chunk_uid < y.chunk_uid GROUP BY ALL)
+ SELECT b.a AS chunk_a, b.b AS chunk_b FROM b JOIN n p ON p.chunk_uid = b.a JOIN n q ON q.chunk_uid = b.b WHERE k >= 0.5 * (p.n + q.n - k)""",
+        "p4_found": f"SELECT DISTINCT chunk_uid FROM chunks WHERE length(text) > 3200 OR len({words}) > 400",
+    }
