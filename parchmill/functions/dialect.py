@@ -72,3 +72,8 @@ def find_all(text: Column, pattern: str) -> Column:
 def map_lines(text: Column, f) -> Column:
     """Each line rewritten by f; lines end at a line feed only."""
     return F.array_join(F.transform(F.split(text, "\n"), f), "\n")
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it within other lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)

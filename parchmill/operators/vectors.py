@@ -67,8 +67,15 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", q
                     s = q2[:, None] - 2 * s + (m * m).sum(1)[None]
                 order = np.argsort(keys, kind="stable")
                 s, keys = s[:, order], keys[order]
-                top = np.argsort(-sign * np.round(s, 12), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({qkey: np.repeat(ids, top.shape[1]), key: keys[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+                cost = -sign * np.round(s, 12)
+                n = min(k, len(keys))
+                last = np.partition(cost, n - 1, axis=1)[:, n - 1]
+                row, col = np.nonzero(cost <= last[:, None])  # the k best and ties with the last
+                order = np.lexsort((col, cost[row, col], row))
+                row, col = row[order], col[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+                row, col = row[keep], col[keep]
+                yield pd.DataFrame({qkey: np.asarray(ids)[row], key: keys[col], "score": s[row, col]})
 
         return vectors.where(F.col(vec).isNotNull()).select(key, vec).mapInPandas(score, schema)
 

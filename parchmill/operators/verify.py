@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dialect import WORD, count_words, find_all, is_blank, java, strip
+from ..functions.dialect import WORD, count_words, find_all, is_blank, java, let, strip
 from ..plans.config import NOT_FOUND, PROFILES, Config
 
 #: Words without content.
@@ -41,7 +41,7 @@ def content_tokens(text: Column) -> Column:
 
 def share(part: Column, whole: Column) -> Column:
     """Of the members of ``whole``, the share also in ``part``; 0 if there are none."""
-    return F.when(F.size(whole) > 0, F.size(F.array_intersect(whole, part)) / F.size(whole)).otherwise(F.lit(0.0))
+    return let(whole, lambda w: F.when(F.size(w) > 0, F.size(F.array_intersect(w, part)) / F.size(w)).otherwise(F.lit(0.0)))
 
 
 def token_overlap(answer: Column, context: Column) -> Column:
@@ -56,13 +56,12 @@ def entities(text: Column) -> Column:
 
 def unsupported(answer_entities: Column, context: Column) -> Column:
     """Facts that are neither facts nor part of the text of the context."""
-    known, low = entities(context), F.lower(context)
-    return F.filter(answer_entities, lambda e: ~(F.array_contains(known, e) | F.contains(low, e)))
+    both = F.struct(entities(context).alias("known"), F.lower(context).alias("low"))
+    return let(both, lambda c: F.filter(answer_entities, lambda e: ~(F.array_contains(c["known"], e) | F.contains(c["low"], e))))
 
 
 def entity_coverage(answer: Column, context: Column) -> Column:
-    e = entities(answer)
-    return F.when(F.size(e) == 0, F.lit(1.0)).otherwise((F.size(e) - F.size(unsupported(e, context))) / F.size(e))
+    return let(entities(answer), lambda e: F.when(F.size(e) == 0, F.lit(1.0)).otherwise((F.size(e) - F.size(unsupported(e, context))) / F.size(e)))
 
 
 def sentences(text: Column) -> Column:
@@ -71,9 +70,9 @@ def sentences(text: Column) -> Column:
 
 
 def sentence_coverage(answer: Column, context: Column, cfg: Config = PROFILES["module"]) -> Column:
-    known, s = content_tokens(context), sentences(answer)
-    grounded = F.filter(s, lambda x: (F.size(content_tokens(x)) == 0) | (share(known, content_tokens(x)) >= cfg.sentence_overlap))
-    return F.when(F.size(s) == 0, F.lit(1.0)).otherwise(F.size(grounded) / F.size(s))
+    enough = lambda known: lambda x: let(content_tokens(x), lambda t: (F.size(t) == 0) | (F.size(F.array_intersect(t, known)) / F.size(t) >= cfg.sentence_overlap))
+    ratio = lambda known: let(sentences(answer), lambda s: F.when(F.size(s) == 0, F.lit(1.0)).otherwise(F.size(F.filter(s, enough(known))) / F.size(s)))
+    return let(content_tokens(context), ratio)
 
 
 def verify(df: DataFrame, answer: str = "answer", context: str = "context", top_score: str | None = None, cfg: Config = PROFILES["module"]) -> DataFrame:

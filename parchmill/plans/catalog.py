@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.dialect import map_lines, words
 from ..operators import chunk, clean, embed, generate, language, vectors, verify
-from ..session import table
+from ..session import spread, table
 from ..sources import files, sinks
 from . import oracle as O
 from . import pipeline
@@ -43,15 +43,15 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_pages").select("page_id", "doc_id", "page_number", "text", "is_ocr", "confidence").dropDuplicates(["page_id"])
+    return table(spark, d, "doc_pages").select("page_id", "doc_id", "page_number", "text", "is_ocr", "confidence").dropDuplicates(["page_id"]).transform(spread)
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").dropDuplicates(["chunk_uid"])
+    return table(spark, d, "chunks").dropDuplicates(["chunk_uid"]).transform(spread)
 
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cleaned").select("doc_id", F.col("cleaned_text").alias("text")).distinct()
+    return table(spark, d, "cleaned").select("doc_id", F.col("cleaned_text").alias("text")).distinct().transform(spread)
 
 
 P = "(SELECT DISTINCT page_id, doc_id, page_number, text, is_ocr, confidence FROM doc_pages)"

@@ -118,7 +118,7 @@ def mentions(x: str) -> str:
 def ascii_words(x: str) -> str:
     """Other marks become blanks and other letters an ASCII one, so that ASCII word edges
     fall where Unicode ones do."""
-    return sub(sub(x, r"[^\x00-\x7F\p{L}\p{N}]", "' '"), r"[^\x00-\x7F]", "'q'")
+    return sub(sub(x, rf"[^\x00-\x7F\p{{L}}\p{{N}}{SP}]", "' '"), rf"[^\x00-\x7F{SP}]", "'q'")
 
 
 ENTITIES = [
