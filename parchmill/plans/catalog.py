@@ -43,15 +43,18 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "doc_pages").select("page_id", "doc_id", "page_number", "text", "is_ocr", "confidence").dropDuplicates(["page_id"]).transform(spread)
+    t = table(spark, d, "doc_pages")
+    return spread(t.select("page_id", "doc_id", "page_number", "text", "is_ocr", "confidence").dropDuplicates(["page_id"]), t)
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").dropDuplicates(["chunk_uid"]).transform(spread)
+    t = table(spark, d, "chunks")
+    return spread(t.dropDuplicates(["chunk_uid"]), t)
 
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cleaned").select("doc_id", F.col("cleaned_text").alias("text")).distinct().transform(spread)
+    t = table(spark, d, "cleaned")
+    return spread(t.select("doc_id", F.col("cleaned_text").alias("text")).distinct(), t)
 
 
 P = "(SELECT DISTINCT page_id, doc_id, page_number, text, is_ocr, confidence FROM doc_pages)"

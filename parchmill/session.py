@@ -28,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """A scan of fewer than half as many partitions as there are cores, spread over all of
-    them, so that a single small file does not keep one core busy and the others idle."""
+    them, so that a single small file does not keep one core busy and the others idle.
+    ``source`` is the scan that ``df`` is made of, where that is more than a scan; only the
+    scan is planned to count its partitions."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    few = 2 * (df if source is None else source).rdd.getNumPartitions() <= cores
+    return df.repartition(cores) if few else df
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
