@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Letters of other scripts that print as the Latin letter before them.
 SAME_GLYPH = """
 A АΑ  B ВΒ  C СϹ  E ЕΕ  H НΗ  I ІΙӀ  J ЈͿ  K КΚ  M МΜ  N Ν  O ОΟ  P РΡ  S Ѕ  T ТΤ  X ХΧ  Y ҮΥ  Z Ζ
@@ -184,7 +186,7 @@ def look_alike_pairs(df: DataFrame, key: str, text: str = "text", form: str = "f
     """Pairs (rec_a < rec_b) of different keys in one part with equal forms and different
     code points. Groups without a second spelling are dropped before the join, which sees
     fingerprints, not texts."""
-    rows = df.where(F.regexp_replace(form, r"\s+", "") != "").select(part, F.col(key).alias("rec"), F.md5(F.col(form).cast("binary")).alias("f"), F.md5(F.col(text).cast("binary")).alias("t")).distinct()
+    rows = df.where(F.regexp_replace(form, r"\s+", "") != "").select(part, F.col(key).alias("rec"), F.md5(F.col(form).cast("binary")).alias("f"), F.md5(F.col(text).cast("binary")).alias("t")).distinct().transform(cut)
     mixed = rows.groupBy(part, "f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select(part, "f")
     rows = rows.join(mixed, [part, "f"], "left_semi")
     a, b = rows.select(part, "f", F.col("rec").alias("rec_a"), F.col("t").alias("ta")), rows.select(part, "f", F.col("rec").alias("rec_b"), F.col("t").alias("tb"))
