@@ -18,12 +18,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut
 from .lookalike import invisible
@@ -112,13 +112,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     index = cut(postings(docs.where(F.col(text).isNotNull()), key, text, vocabulary))
     frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most |vocabulary| rows
 
-    lookups = set()
+    lookups, windows = set(), {}  # windows: of a place those it is looked up for
     for i, texts in words.items():
         for v, w in enumerate(texts):
             order = np.array([frequency.get(x, 0) for x in w])
             for a in range(len(w) - min_words + 1):
                 for p in np.argsort(order[a : a + min_words], kind="stable")[:rarest]:
                     lookups.add((w[a + p], i, v, int(a + p)))
+                    windows.setdefault((i, v, int(a + p)), []).append(a)
     lookup = spark.createDataFrame(sorted(lookups), f"term string, {item_key} long, version int, item_place int")
     if len(lookups) <= BROADCAST_LOOKUPS:
         lookup = F.broadcast(lookup)
@@ -126,17 +127,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     hits = index.join(lookup, "term").withColumn("offset", F.col("place") - F.col("item_place"))
     width = slack + 1
     hits = hits.withColumn("band", F.explode(F.array(F.floor(F.col("offset") / width), F.floor(F.col("offset") / width) - 1)))
-    near = hits.groupBy(key, item_key, "version", "band").agg(F.count_distinct("item_place").alias("kept"), F.min("offset").alias("lo"), F.max("offset").alias("hi")).where(F.col("kept") >= rarest - slack)
-    near = near.groupBy(key, item_key, "version").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("bands"))
-    shared = spark.sparkContext.broadcast(words)
+    near = hits.groupBy(key, item_key, "version", "band").agg(F.collect_set("item_place").alias("places"), F.min("offset").alias("lo"), F.max("offset").alias("hi")).where(F.size("places") >= rarest - slack)
+    near = near.groupBy(key, item_key, "version").agg(F.array_sort(F.collect_set(F.struct("lo", "hi", "places"))).alias("bands"))
+    near = near.repartition(spark.sparkContext.defaultParallelism, key)
+    shared = spark.sparkContext.broadcast((words, windows))
+    # Of the words of a case at least so many come in a row: those kept by so many edits.
+    row = -(-(min_words - slack) // (slack + 1))
 
     @F.pandas_udf("boolean")
     def verify(texts: pd.Series, ids: pd.Series, versions: pd.Series, bands: pd.Series) -> pd.Series:
+        words, windows = shared.value
         out, last, doc = [], None, []
         for t, i, v, bs in zip(texts, ids, versions, bands):
+            item = words[i][v]
+            bs = [b for b in bs if max(Counter(a for p in b["places"] for a in windows[i, v, p]).values()) >= rarest - slack]
+            if not bs:
+                out.append(False)
+                continue
             if t is not last:
                 last, doc = t, plain_words(t)
-            item = shared.value[i][v]
+            rows = {tuple(item[j : j + row]) for j in range(len(item) - row + 1)}
             room = len(item) // per_edit + slack
             ranges: list[list[int]] = []
             for b in bs:
@@ -145,7 +155,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     ranges[-1][1] = max(hi, ranges[-1][1])
                 else:
                     ranges.append([lo, hi])
-            out.append(any(leaks(doc[a:b], item, min_words, per_edit) for a, b in ranges))
+            parts = [doc[a:b] for a, b in ranges]
+            out.append(any(leaks(p, item, min_words, per_edit) for p in parts if any(tuple(p[j : j + row]) in rows for j in range(len(p)))))
         return pd.Series(out, dtype=bool)
 
     texts = docs.select(key, text).dropDuplicates([key])
