@@ -23,7 +23,7 @@ import unicodedata
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lookalike import Rewriter, invisible, representatives
@@ -305,8 +305,11 @@ def fit(df: DataFrame, text: str = "text", train_each: int = TRAIN_EACH) -> tupl
                 yield pd.DataFrame({"words": [w for w, _ in keep], "p": [q for _, q in keep]})
 
     units_df = df.select(text).mapInPandas(clear, "words array<string>, p double").withColumn("h", F.xxhash64("words"))
-    sides = [units_df.where(c).dropDuplicates(["h"]).orderBy("h").limit(train_each) for c in ("p > 0.7", "p < 0.1")]
-    rows = sides[0].unionByName(sides[1]).select("words", "p").collect()
+    # Of either side the units of the lowest hashes, in one pass; the window keeps as many
+    # rows of a partition as it may need before the shuffle.
+    w = Window.partitionBy("side").orderBy("h")
+    ranked = units_df.withColumn("side", F.col("p") > 0.7).withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= train_each)
+    rows = ranked.dropDuplicates(["side", "h"]).select("words", "p").collect()
     if not any(r["p"] > 0.7 for r in rows):
         return model, np.append(np.zeros(1 << BITS), -4.0)
     return model, train_linear([features(r["words"]) for r in rows], np.array([r["p"] for r in rows]))

@@ -7,41 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import scan, table
 from . import abuse, language, leak, lookalike, neardup, scans, sentences, split, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "cleaned").select(F.lit("cleaned").alias("tbl"), F.col("doc_id").alias("rec"), F.col("cleaned_text").alias("text"))
-    b = table(spark, d, "doc_pages").select(F.lit("doc_pages").alias("tbl"), F.col("page_id").alias("rec"), "text")
+    a = scan(spark, d, "cleaned").select(F.lit("cleaned").alias("tbl"), F.col("doc_id").alias("rec"), F.col("cleaned_text").alias("text"))
+    b = scan(spark, d, "doc_pages").select(F.lit("doc_pages").alias("tbl"), F.col("page_id").alias("rec"), "text")
     return lookalike.look_alike_pairs(lookalike.same_form(spark, a.unionByName(b)), "rec")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    members, links = neardup.near_classes(table(spark, d, "chunks"), "chunk_uid", run=3, min_words=20, threshold=0.5)
+    members, links = neardup.near_classes(scan(spark, d, "chunks"), "chunk_uid", run=3, min_words=20, threshold=0.5)
     return neardup.near_pairs(members, links, "chunk_uid")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return scans.noisy_lines(spark, table(spark, d, "doc_pages"))
+    return scans.noisy_lines(spark, scan(spark, d, "doc_pages"))
 
 
 def p3_pages(spark: SparkSession, d: str) -> DataFrame:
-    return scans.repair_pages(spark, table(spark, d, "doc_pages"))
+    return scans.repair_pages(spark, scan(spark, d, "doc_pages"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_oversized(table(spark, d, "chunks")).where("n_pieces > 1").select("chunk_uid").distinct()
+    return split.split_oversized(scan(spark, d, "chunks")).where("n_pieces > 1").select("chunk_uid").distinct()
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    out = split.split_oversized(table(spark, d, "chunks").select("chunk_uid", "text", "section_label"))
+    out = split.split_oversized(scan(spark, d, "chunks").select("chunk_uid", "text", "section_label"))
     return out.select("chunk_uid", "piece_no", "n_pieces", "piece_start", "piece_end", "piece_text", "piece_label", "piece_tokens", "hard_cut").dropDuplicates(["chunk_uid", "piece_no"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     tagger = sentences.fit(table(spark, d, "lang_samples"))
-    out = sentences.unit_ends(spark, table(spark, d, "chunks").select("chunk_uid", "text"), tagger)
+    out = sentences.unit_ends(spark, scan(spark, d, "chunks").select("chunk_uid", "text"), tagger)
     return out.select("chunk_uid", F.explode("ends").alias("sent_end")).distinct()
 
 
@@ -57,30 +57,30 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "doc_pages").select(F.lit("doc_pages").alias("tbl"), F.col("page_id").alias("rec_id"), "lang", "text", F.lit(True).alias("scanned"))
-    b = table(spark, d, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_uid").alias("rec_id"), "lang", "text", F.lit(False).alias("scanned"))
+    a = scan(spark, d, "doc_pages").select(F.lit("doc_pages").alias("tbl"), F.col("page_id").alias("rec_id"), "lang", "text", F.lit(True).alias("scanned"))
+    b = scan(spark, d, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_uid").alias("rec_id"), "lang", "text", F.lit(False).alias("scanned"))
     return a.unionByName(b)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.token_ids(spark, table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return tokenize.token_ids(spark, scan(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leak.find_leaks(scan(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    posts = table(spark, d, "documents").select("doc_id", "text")
+    posts = scan(spark, d, "documents").select("doc_id", "text")
     return abuse.score_posts(spark, posts).where("score >= 0.5").select("doc_id").distinct()
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.score_posts(spark, table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.round("score", 6).alias("score")).dropDuplicates(["doc_id"])
+    return abuse.score_posts(spark, scan(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.round("score", 6).alias("score")).dropDuplicates(["doc_id"])
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    posts = table(spark, d, "documents").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    posts = scan(spark, d, "documents").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
     return abuse.rates(abuse.score_posts(spark, posts))
 
 
