@@ -35,6 +35,25 @@ def detect(text: Column) -> Column:
     return F.when((n["ta"] > 0) & (n["ta"] >= n["hi"]) & (n["ta"] >= n["en"]), "ta").when((n["hi"] > 0) & (n["hi"] >= n["en"]), "hi").otherwise("en")
 
 
+#: Detectors that run in Python: a loader of a function from texts to codes.
+DETECTORS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {}
+
+
+def with_language(df: DataFrame, text: str, out: str = "lang", cfg: Config = PROFILES["module"]) -> DataFrame:
+    """Add ``out`` by the detector of the settings; 'script' is the native expression."""
+    if cfg.detector == "script":
+        return df.withColumn(out, detect(F.col(text)))
+    if cfg.detector not in DETECTORS:
+        raise ValueError(f"unknown detector {cfg.detector!r}")
+    load = DETECTORS[cfg.detector]
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(load()(list(texts)), dtype=object)
+
+    return df.withColumn(out, run(F.col(text)))
+
+
 def translate_pieces(text: str | None, limit: int) -> list[str]:
     """Pieces of at most ``limit`` characters, at sentence ends or line feeds; longer
     sentences are cut hard."""
@@ -94,4 +113,4 @@ def from_english(df: DataFrame, text: str, lang: str, out: str, cfg: Config = PR
     return translate(df, text, F.lit("en"), F.col(lang), out, cfg)
 
 
-__all__ = ["SCRIPTS", "TRANSLATORS", "detect", "from_english", "script_counts", "split_for_translation", "to_english", "translate", "translate_pieces"]
+__all__ = ["DETECTORS", "SCRIPTS", "TRANSLATORS", "detect", "with_language", "from_english", "script_counts", "split_for_translation", "to_english", "translate", "translate_pieces"]

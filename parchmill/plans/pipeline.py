@@ -22,7 +22,7 @@ def build_index(pages: DataFrame, cfg: Config = PROFILES["module"]) -> DataFrame
     """(chunk_uid, doc_id, chunk_id, text, section_label, page_numbers, metadata, embedding)
     of all pages: joined by document, translated, cleaned, cut into chunks, embedded."""
     docs, _ = files.split_empty(files.documents(pages))
-    docs = docs.withColumn("lang", language.detect(F.col("raw_text")))
+    docs = language.with_language(docs, "raw_text", cfg=cfg)
     docs = language.to_english(docs, "raw_text", "lang", "text", cfg)
     docs = docs.select("doc_id", clean.clean_text(F.col("text")).alias("text"))
     chunks = chunk.with_pages(chunk.chunk(docs, cfg=cfg), pages)
@@ -39,7 +39,7 @@ def asked(questions: DataFrame, text: str = "question") -> DataFrame:
 def answer_questions(questions: DataFrame, index: DataFrame, cfg: Config = PROFILES["module"]) -> DataFrame:
     """(qid, question, lang, question_en, answer, passed, confidence, attempt, rendered) of
     every question asked. Both tries share one search."""
-    q = asked(questions).select("qid", "question").withColumn("lang", language.detect(F.col("question")))
+    q = language.with_language(asked(questions).select("qid", "question"), "question", cfg=cfg)
     q = language.to_english(q, "question", "lang", "question_en", cfg)
     q = cut(embed.embed(q, "question_en", "qvec", cfg))
     found = vectors.retrieve_routed(q, index, cfg=cfg, key="chunk_uid")
