@@ -16,6 +16,7 @@ invisible characters only becomes blanks; repeated rows get equal forms.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections import Counter
 
@@ -92,18 +93,15 @@ def classes() -> list[list[str]]:
 
 
 @functools.lru_cache(maxsize=1)
-def member_automaton() -> ahocorasick.Automaton:
-    auto = ahocorasick.Automaton()
-    for group in classes():
-        for m in group:
-            if m:
-                auto.add_word(m, m)
-    auto.make_automaton()
-    return auto
+def members() -> frozenset[str]:
+    return frozenset(m for group in classes() for m in group if len(m) == 1)
 
 
 def member_counts(text: str) -> Counter:
-    return Counter(m for _, m in member_automaton().iter_long(unicodedata.normalize("NFD", text)))
+    """How often each member of one character is used. Strings need no counts, as they
+    always represent their class."""
+    n = Counter(text if text.isascii() else unicodedata.normalize("NFD", text))
+    return Counter({c: n[c] for c in n.keys() & members()})
 
 
 def representatives(counts: dict[str, int]) -> dict[str, str]:
@@ -133,9 +131,10 @@ class Rewriter:
         for m, best in mapping.items():
             self.auto.add_word(m, (len(m), best))
         self.auto.make_automaton()
+        self.ascii = re.compile("|".join(re.escape(m) for m in sorted(mapping) if m.isascii() and m) or "(?!)")
 
     def __call__(self, text: str | None) -> str | None:
-        if not text:
+        if not text or text.isascii() and not self.ascii.search(text):
             return text
         text = unicodedata.normalize("NFD", text)
         out, at = [], 0
