@@ -94,6 +94,51 @@ def postings(docs: DataFrame, key: str, text: str, vocabulary: set[str]) -> Data
     return docs.select(key, text).mapInPandas(tokens, f"term string, {key} long, place int")
 
 
+def _near_local(hits: DataFrame, key: str, item_key: str, width: int, least: int) -> DataFrame:
+    """Bands of nearly one offset with enough places, without a shuffle. The index is parted
+    by document and each document's postings lie together, and lookups that are sent to all
+    executors leave that order, so a document's hits end where the next one's begin; those
+    of the last are carried into the next batch."""
+
+    def bands(pdf: pd.DataFrame):
+        if not len(pdf):
+            return None
+        doc, item, version, place, offset = (pdf[c].to_numpy() for c in (key, item_key, "version", "item_place", "offset"))
+        band = np.concatenate((offset // width, offset // width - 1))
+        doc, item, version, place, offset = (np.concatenate((x, x)) for x in (doc, item, version, place, offset))
+        order = np.lexsort((place, band, version, item, doc))
+        doc, item, version, band, place, offset = (x[order] for x in (doc, item, version, band, place, offset))
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (version[1:] != version[:-1]) | (band[1:] != band[:-1])
+        fresh = new.copy()
+        fresh[1:] |= place[1:] != place[:-1]
+        start = np.flatnonzero(new)
+        n = np.add.reduceat(fresh.astype(np.int64), start)
+        stop = np.append(start[1:], len(doc))
+        keep = np.flatnonzero(n >= least)
+        if not len(keep):
+            return None
+        spans = [(start[k], stop[k]) for k in keep]
+        return pd.DataFrame({key: doc[start[keep]], item_key: item[start[keep]], "version": version[start[keep]], "places": [sorted({int(p) for p in place[a:b]}) for a, b in spans], "lo": [int(offset[a:b].min()) for a, b in spans], "hi": [int(offset[a:b].max()) for a, b in spans]})
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf[key].to_numpy() == pdf[key].iloc[-1]
+            cut_at = int(len(last) - np.argmin(last[::-1])) if not last.all() else 0
+            held = pdf.iloc[cut_at:]
+            if (out := bands(pdf.iloc[:cut_at])) is not None:
+                yield out
+        if held is not None and (out := bands(held)) is not None:
+            yield out
+
+    return hits.mapInPandas(run, f"{key} long, {item_key} long, version int, places array<int>, lo int, hi int")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, per_edit: int = PER_EDIT, rarest: int = RAREST) -> DataFrame:
     """(key, item_key), one row per document and leaked item.
 
@@ -109,7 +154,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     if not words:
         return spark.createDataFrame([], schema)
     vocabulary = {w for ws in words.values() for x in ws for w in x}
-    index = cut(postings(docs.where(F.col(text).isNotNull()), key, text, vocabulary))
+    index = cut(postings(docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()), key, text, vocabulary))
     frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most |vocabulary| rows
 
     lookups, windows = set(), {}  # windows: of a place those it is looked up for
@@ -121,13 +166,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     lookups.add((w[a + p], i, v, int(a + p)))
                     windows.setdefault((i, v, int(a + p)), []).append(a)
     lookup = spark.createDataFrame(sorted(lookups), f"term string, {item_key} long, version int, item_place int")
-    if len(lookups) <= BROADCAST_LOOKUPS:
+    small = len(lookups) <= BROADCAST_LOOKUPS
+    if small:
         lookup = F.broadcast(lookup)
     slack = min_words // per_edit
     hits = index.join(lookup, "term").withColumn("offset", F.col("place") - F.col("item_place"))
-    width = slack + 1
-    hits = hits.withColumn("band", F.explode(F.array(F.floor(F.col("offset") / width), F.floor(F.col("offset") / width) - 1)))
-    near = hits.groupBy(key, item_key, "version", "band").agg(F.collect_set("item_place").alias("places"), F.min("offset").alias("lo"), F.max("offset").alias("hi")).where(F.size("places") >= rarest - slack)
+    width, least = slack + 1, rarest - slack
+    if small:
+        near = _near_local(hits.select(key, item_key, "version", "item_place", "offset"), key, item_key, width, least)
+    else:
+        both = F.array(F.floor(F.col("offset") / width), F.floor(F.col("offset") / width) - 1)
+        near = hits.withColumn("band", F.explode(both)).groupBy(key, item_key, "version", "band").agg(F.collect_set("item_place").alias("places"), F.min("offset").alias("lo"), F.max("offset").alias("hi")).where(F.size("places") >= least).drop("band")
     near = near.groupBy(key, item_key, "version").agg(F.array_sort(F.collect_set(F.struct("lo", "hi", "places"))).alias("bands"))
     near = near.repartition(spark.sparkContext.defaultParallelism, key)
     shared = spark.sparkContext.broadcast((words, windows))

@@ -59,3 +59,19 @@ def test_find(spark, frame):
     d, i = frame(docs, "doc_id long, text string").selectExpr("*", "'clash' as term", "1 as place"), frame(items, "item_id long, text string")
     assert {tuple(r) for r in L.find_leaks(d, i).collect()} == {(1, 1), (2, 1), (7, 1)}
     assert L.find_leaks(d.limit(0), i).count() == 0 and L.find_leaks(d, i.limit(0)).count() == 0
+
+
+def test_both_ways_of_intersecting(spark, frame, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(20))) for k in range(12)]
+    docs = []
+    for k in range(80):
+        words = [f"w{rng.randrange(60)}" for _ in range(200)]
+        a = items[rng.randrange(12)][1].split()
+        words[50:50] = noisy(a[: rng.randrange(10, 21)], rng, rng.randrange(4))
+        docs.append((k, " ".join(words)))
+    d, i = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
+    found = sorted(tuple(r) for r in L.find_leaks(d, i).collect())
+    assert found == sorted((k, j) for k, t in docs for j, x in items if L.leaks(t.split(), x.split())) and found
+    monkeypatch.setattr(L, "BROADCAST_LOOKUPS", 0)
+    assert sorted(tuple(r) for r in L.find_leaks(d, i).collect()) == found
