@@ -179,3 +179,13 @@ class CellIndex:
         scored = pairs.select(qkey, self.key, product(F.col(qvec), F.col(self.vec)).alias("score"))
         w = Window.partitionBy(qkey).orderBy(F.round("score", 12).desc(), self.key)
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(qkey, "rank", self.key, "score")
+
+
+def chunk_by_id(index: DataFrame, doc_id: int, chunk_id: int) -> DataFrame:
+    """The chunk's row; none if there is none. The key reaches the scan as a filter."""
+    return index.where((F.col("doc_id") == doc_id) & (F.col("chunk_id") == chunk_id))
+
+
+def total_chunks(index: DataFrame | None) -> int:
+    """Chunks with a vector; 0 where nothing is indexed."""
+    return 0 if index is None else index.where(F.col("embedding").isNotNull()).count()

@@ -13,3 +13,15 @@ def test_spread_keeps_rows_and_uses_the_cores(spark, tmp_path):
 def test_cut_ends_the_lineage(spark):
     df = cut(spark.range(10).selectExpr("id * 2 as x"))
     assert "ExistingRDD" in df._jdf.queryExecution().toString() and df.count() == 10
+
+
+def test_measured_and_lookups(spark):
+    from parchmill.operators import vectors
+    from parchmill.plans.metrics import measured
+
+    df, m = measured(spark.range(7), "seven")
+    df.write.format("noop").mode("overwrite").save()
+    assert m.rows == 7 and m.seconds > 0
+    index = spark.createDataFrame([(1, 0, [1.0]), (1, 1, None)], "doc_id long, chunk_id int, embedding array<double>")
+    assert vectors.chunk_by_id(index, 1, 1).count() == 1 and vectors.chunk_by_id(index, 2, 0).count() == 0
+    assert vectors.total_chunks(index) == 1 and vectors.total_chunks(None) == 0
