@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .lookalike import Rewriter, invisible, representatives
 
 TRAIN_EACH = 6000
@@ -277,39 +278,45 @@ def linear_score(w: np.ndarray, f: list[int]) -> float:
 
 
 def fit(df: DataFrame, text: str = "text", train_each: int = TRAIN_EACH) -> tuple[LabelModel, np.ndarray]:
-    """The label model from all units, the classifier from a bounded sample of them."""
+    """The label model from all units, the classifier from a bounded sample of them.
+
+    One pass votes on every unit. It leaves the sums for the label model, the units with a
+    vote for abuse, and of the others those with the lowest hashes of each batch, which
+    hold those with the lowest of all."""
     k = len(VOTERS)
 
-    def moments(batches):
+    def vote(batches):
         n, hits, first, seen = 0.0, 0.0, np.zeros(k), np.zeros((k, k))
         for pdf in batches:
-            m = [votes(*u) for t in pdf.iloc[:, 0].dropna() for u in units(t)]
-            if m:
-                v = np.array(m)
-                a = np.abs(v)
-                n, hits, first, seen = n + len(v), hits + float((v[:, : len(PATTERNS)] > 0).any(1).sum()), first + v.sum(0), seen + a.T @ a
-        yield pd.DataFrame({"i": np.arange(2 + k + k * k), "x": np.concatenate(([n, hits], first, seen.ravel()))})
-
-    got = df.select(text).mapInPandas(moments, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+            us = [u for t in pdf.iloc[:, 0].dropna() for u in units(t)]
+            if not us:
+                continue
+            v = np.array([votes(*u) for u in us])
+            a = np.abs(v)
+            n, hits, first, seen = n + len(v), hits + float((v[:, : len(PATTERNS)] > 0).any(1).sum()), first + v.sum(0), seen + a.T @ a
+            unique = {" ".join(w): i for i, (w, _) in enumerate(us)}
+            h = {s: xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in unique}
+            some = (v > 0).any(1)
+            voted = [s for s, i in unique.items() if some[i]]
+            rest = sorted((s for s, i in unique.items() if not some[i]), key=h.__getitem__)[:train_each]
+            keep = voted + rest
+            yield pd.DataFrame({"i": None, "x": None, "words": [s.split(" ") for s in keep], "v": [v[unique[s]].astype(np.int8).tolist() for s in keep], "h": [h[s] for s in keep]})
+        sums = np.concatenate(([n, hits], first, seen.ravel()))
+        yield pd.DataFrame({"i": np.arange(len(sums)), "x": sums, "words": None, "v": None, "h": None})
+
+    voted = cut(df.select(text).mapInPandas(vote, "i int, x double, words array<string>, v array<tinyint>, h long"))
     x = np.zeros(2 + k + k * k)
-    for r in got:
+    for r in voted.where("i is not null").groupBy("i").agg(F.sum("x").alias("x")).collect():
         x[r["i"]] = r["x"]
     model = LabelModel(x[0], x[2 : 2 + k], x[2 + k :].reshape(k, k), x[1] / max(x[0], 1.0))
 
-    def clear(batches):
-        for pdf in batches:
-            us = {tuple(u[0]): u[1] for t in pdf.iloc[:, 0].dropna() for u in units(t)}
-            if us:
-                p = model.posterior(np.array([votes(list(w), n) for w, n in us.items()]))
-                keep = [(list(w), float(q)) for w, q in zip(us, p) if q > 0.7 or q < 0.1]
-                yield pd.DataFrame({"words": [w for w, _ in keep], "p": [q for _, q in keep]})
-
-    units_df = df.select(text).mapInPandas(clear, "words array<string>, p double").withColumn("h", F.xxhash64("words"))
-    # Of either side the units of the lowest hashes, in one pass; the window keeps as many
-    # rows of a partition as it may need before the shuffle.
+    @F.pandas_udf("double")
+    def posterior(v: pd.Series) -> pd.Series:
+        return pd.Series(model.posterior(np.array(v.to_list(), dtype=float)) if len(v) else [], dtype=float)
+
+    clear = voted.where("i is null").dropDuplicates(["h"]).withColumn("p", posterior("v")).where("p > 0.7 or p < 0.1")
     w = Window.partitionBy("side").orderBy("h")
-    ranked = units_df.withColumn("side", F.col("p") > 0.7).withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= train_each)
-    rows = ranked.dropDuplicates(["side", "h"]).select("words", "p").collect()
+    rows = clear.withColumn("side", F.col("p") > 0.7).withColumn("r", F.row_number().over(w)).where(F.col("r") <= train_each).orderBy("side", "h").select("words", "p").collect()
     if not any(r["p"] > 0.7 for r in rows):
         return model, np.append(np.zeros(1 << BITS), -4.0)
     return model, train_linear([features(r["words"]) for r in rows], np.array([r["p"] for r in rows]))
