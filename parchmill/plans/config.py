@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+#: The texts that readers get and that stands for no answer.
 NOT_FOUND = "Information not found in the uploaded document."
 
 SYSTEM_PROMPT = (

@@ -61,6 +61,7 @@ def nfc_scrub(x: str) -> str:
     return strip(sub(f"nfc_normalize({x})", r"[^\P{C}\n\r\t]"))
 
 
+#: The patterns of operators.clean in this dialect.
 PROTECTED = [
     r"(?i)G\.O\.|Government Order|G\.O\s*No",
     rf"(?i){FIRST}(?:Section|Clause|Article|Rule|Chapter){LAST}",
@@ -102,6 +103,7 @@ def clean(source: str, x: str = "text") -> str:
     return source
 
 
+#: The patterns of functions.text.
 ORDERS = [r"(?i)G\.O\.\s*(?:Ms\.|Rt\.|P\.|No\.?)?\s*\d+", r"(?i)GO\s*(?:Ms\.|Rt\.|No\.?)?\s*\d+", r"(?i)Government\s+Order\s+(?:No\.?)?\s*\d+"]
 
 
@@ -121,6 +123,7 @@ def ascii_words(x: str) -> str:
     return sub(sub(x, rf"[^\x00-\x7F\p{{L}}\p{{N}}{SP}]", "' '"), rf"[^\x00-\x7F{SP}]", "'q'")
 
 
+#: The patterns of operators.verify.
 ENTITIES = [
     r"\b[0-9]+(?:\.[0-9]+)?\b", r"\b[0-9]{1,2}[/\-][0-9]{1,2}[/\-][0-9]{2,4}\b", r"\b(?:19|20)[0-9]{2}\b",
     r"(?i)G\.O\.\s*(?:Ms\.|Rt\.|No\.?)?\s*[0-9]+", r"(?i)GO\s*(?:No\.?)?\s*[0-9]+",
