@@ -45,8 +45,10 @@ _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“
 _DIGITS = re.compile(r"\d+")
 _INVISIBLE = re.compile("[" + "".join(chr(c) for c in (*range(0xA0, 0x2100), 0xFEFF) if invisible(chr(c))) + "]")
 _END = re.compile(r"[.!?…।॥。！？|][\"'”’“»」』)\]]*$")
-_CJK = re.compile(r"[\u3040-\u9fff]")
-_LOWER = re.compile(r"(?<!\S)[\"'“«(¿¡‘„]*[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ][^\s]")
+_LOW = r"(?<!\S)[\"'“«(¿¡‘„]*[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ][^\s]"
+_TWO_LOWER = re.compile(rf"{_LOW}.*?\s{_LOW}", re.S)
+_ENDING, _CLOSING = frozenset(".!?…।॥。！？|"), "\"'”’“»」』)]"
+_THAI_CJK = re.compile(r"[฀-๿぀-鿿]")
 _LETTERS_TH = re.compile(r"[฀-๿]")
 
 
@@ -179,16 +181,18 @@ def unwrap(text: str, scanned: bool) -> str:
 
 
 def whole(unit: str) -> bool:
-    if sentences._HEAD.match(unit) and not _END.search(unit):
+    """A sentence to its end: no heading, no bare name or number."""
+    ended = unit.rstrip(_CLOSING)[-1:] in _ENDING
+    if not ended and sentences._HEAD.match(unit):
         return False
-    thai = _LETTERS_TH.search(unit)
-    if not thai and not _END.search(unit):
+    far = not unit.isascii() and max(unit) >= "\u0e00"
+    if not ended and not (far and _LETTERS_TH.search(unit)):
         return False
-    if thai or _CJK.search(unit):
+    if far and _THAI_CJK.search(unit):
         return len(unit) >= 6
     if len(unit) < 12 or unit.count(" ") < 2:
         return False
-    return unit.upper() == unit or len(_LOWER.findall(unit)) >= 2
+    return _TWO_LOWER.search(unit) is not None or unit.upper() == unit
 
 
 class Detector:
