@@ -324,6 +324,8 @@ def _words_of(lines: DataFrame) -> DataFrame:
                     rest = strip_outer(nxt.split()[0])[0] if nxt.split() else ""
                     if head and rest:
                         rows.append((pid, no, int(nxt_no), head + rest, len(head), tail[1], broken[-1]))
+                        if broken[-1] in "-‐‑":  # the hyphen may be the word's own
+                            rows.append((pid, no, int(nxt_no), f"{head}-{rest}", len(head) + 1, tail[1], None))
             if rows:
                 yield pd.DataFrame(rows, columns=["page_id", "line_no", "next_no", "word", "split", "at", "mark"]).astype({"split": "Int32", "next_no": "Int32"})
 
@@ -432,7 +434,8 @@ def _train_editor(spark: SparkSession, pages: DataFrame, counts: DataFrame, raw:
         if "-" in w[1:-1] and w.replace("-", "").isalnum():
             for i, c in enumerate(w):
                 if c == "-" and 0 < i < len(w) - 1 and w[i + 1].isalnum():
-                    joins.append((join_features(w[:i], "-", w[i + 1 :], 0, n), ("keep", "join"), "keep"))
+                    for known in (n, 0):  # a misread half hides the count
+                        joins.append((join_features(w[:i], "-", w[i + 1 :], 0, known), ("keep", "join"), "keep"))
         elif len(w) >= 4 and w.isalpha():
             i = rng.randint(1, len(w) - 2)
             joins.append((join_features(w[:i], rng.choice("---‐¬­"), w[i:], n if rng.random() < 0.7 else 0, 0), ("keep", "join"), "join"))
@@ -476,7 +479,7 @@ class Findings:
         judged = _evidence(self.words, counts).withColumn("edits", edits("word", "own", "options")).where(F.size("edits") > 0).select("word", "edits")
         self.edits = self.words.join(judged, "word")
 
-        broken = self.words.where("split is not null").withColumn("left", F.expr("substring(word, 1, split)")).withColumn("right", F.expr("substring(word, split + 1)"))
+        broken = self.words.where("mark is not null").withColumn("left", F.expr("substring(word, 1, split)")).withColumn("right", F.expr("substring(word, split + 1)"))
         n_of = lambda c: counts.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"))
         broken = broken.withColumn("joined", _key_udf("word")).withColumn("hyphened", _key_udf(F.concat_ws("-", "left", "right")))
         broken = broken.join(n_of("joined"), "joined", "left").join(n_of("hyphened"), "hyphened", "left")
