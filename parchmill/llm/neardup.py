@@ -151,3 +151,39 @@ def near_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     within = same.select("h1", "h2", F.col(key).alias("ka"))
     within = within.join(same.select("h1", "h2", F.col(key).alias("kb")), ["h1", "h2"]).where("ka < kb").select("ka", "kb")
     return across.union(within).where("ka <> kb").select(F.least("ka", "kb").alias("chunk_a"), F.greatest("ka", "kb").alias("chunk_b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b): root is the least node that it is
+    linked to by any path. Large-star and small-star rounds by joins and minima; nothing is
+    collected but a count and a checksum of the edges each round."""
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    while True:
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        seen = state
+        both = e.union(e.select(F.col("b"), F.col("a")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        e = cut(small.where("a <> b").distinct())
+
+
+def groups(df: DataFrame, key: str, **settings) -> DataFrame:
+    """(key, group_id, n_links): one row per key of the table. group_id is the least key of
+    the group that links of any length make; n_links counts the other texts it is linked to.
+    Copies share a group; texts that are too short are groups of their own."""
+    members, links = near_classes(df, key, **settings)
+    members, links = cut(members), cut(links.select("a1", "a2", "b1", "b2"))
+    roots = members.groupBy("h1", "h2").agg(F.min(key).alias("r"))
+    a, b = roots.toDF("a1", "a2", "a"), roots.toDF("b1", "b2", "b")
+    edges = links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b")
+    degree = edges.union(edges.select("b", "a")).groupBy("a").agg(F.count("*").alias("n")).toDF("r", "n")
+    root = components(edges).toDF("r", "root")
+    found = members.join(roots, ["h1", "h2"]).join(root, "r", "left").join(degree, "r", "left")
+    found = found.select(key, F.coalesce("root", "r").alias("g"), F.coalesce("n", F.lit(0)).alias("n"))
+    found = found.groupBy(key).agg(F.min("g").alias("g"), F.max("n").alias("n"))
+    return df.select(key).distinct().join(found, key, "left").select(key, F.coalesce("g", key).alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links"))

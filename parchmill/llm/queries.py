@@ -22,6 +22,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(members, links, "chunk_uid")
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(scan(spark, d, "chunks"), "chunk_uid", run=3, min_words=20, threshold=0.5)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noisy_lines(spark, scan(spark, d, "doc_pages"))
 

@@ -64,3 +64,26 @@ def test_one_changed_symbol_meets_at_an_anchor():
     a, _, _ = N.fingerprints(h, np.array([0]), 1, 4)
     b, _, _ = N.fingerprints(h[::-1].copy(), np.array([0]), 1, 4)
     assert set(a[0]) == set(b[0]) and len(set(a[0])) == 4
+
+
+def test_components_and_groups(spark, frame):
+    rng = random.Random(5)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900 + i) for i in range(1, 30)] + [(7, 7)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        if a != b:
+            up[b] = a
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert {r["node"]: r["root"] for r in N.components(frame(edges, "a long, b long")).collect()} == want
+    assert N.components(frame([], "a long, b long")).count() == 0
+    base = [f"w{i}" for i in range(40)]
+    rows = [(10, " ".join(base)), (11, " ".join(base)), (12, " ".join([*base[:-1], "x"])), (13, " ".join(["y", *base[1:-1], "x"])), (14, "short"), (15, None), (10, " ".join(base))]
+    got = {r["k"]: (r["group_id"], r["n_links"]) for r in N.groups(frame(rows, "k long, text string"), "k", run=3, threshold=0.85).collect()}
+    assert {k: g for k, (g, _) in got.items()} == {10: 10, 11: 10, 12: 10, 13: 10, 14: 14, 15: 15} and got[14][1] == 0 and got[12][1] == 2
