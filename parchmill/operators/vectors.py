@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..plans.config import PROFILES, Config
 
 QUERY_BLOCK = 4096
+#: Cells scanned per query. Recall@5 with every vector of sf0.1 as a query: 0.72 at 16, 0.91 at 40, 0.94 at 50.
+PROBES = 50
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -159,7 +161,7 @@ class CellIndex:
 
         self.table = ok.withColumn("cell", cell(F.col(vec)))
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8, qkey: str = "qid", qvec: str = "qvec") -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int = PROBES, qkey: str = "qid", qvec: str = "qvec") -> DataFrame:
         shared = queries.sparkSession.sparkContext.broadcast(self.centres)
 
         @F.pandas_udf("array<int>")

@@ -115,9 +115,9 @@ _SQL["vec_normalize"] = """SELECT vec_id, round(list_inner_product(n, n), 6) AS
 
 @query
 def vec_cells(spark, d):
-    """Approximate search; its recall is measured in the tests."""
+    """Approximate search; the tests hold its recall@5 on sf0.1 to 0.9 or more."""
     q, v = _query_vectors(spark, d)
-    return vectors.CellIndex(v).search(q, 5, probes=16).select("qid", "rank", "vec_id", F.round("score", 4).alias("score"))
+    return vectors.CellIndex(v).search(q, 5).select("qid", "rank", "vec_id", F.round("score", 4).alias("score"))
 
 
 @query

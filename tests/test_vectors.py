@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parchmill.operators import embed, vectors
+from parchmill.plans import catalog
 from parchmill.plans.config import PROFILES
 
 
@@ -52,6 +55,25 @@ def test_cells_recall(spark):
         vectors.CellIndex(v.limit(0))
 
 
+has_tables = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are not here")
+
+
+@has_tables
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_query(spark, sf):
+    d = f"/root/testdata/{sf}"
+    exact, found = ({(r["qid"], r["vec_id"]) for r in f(spark, d).collect()} for f in (catalog.vec_topk_cosine, catalog.vec_cells))
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+@has_tables
+def test_recall_of_the_default(spark):
+    v = catalog.table(spark, "/root/testdata/sf0.1", "embeddings")
+    q = v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    exact, found = ({(r["qid"], r["vec_id"]) for r in s.collect()} for s in (vectors.search(q, v, 5), vectors.CellIndex(v).search(q, 5)))
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_ties_by_key(spark):
     v = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, qvec array<double>")
