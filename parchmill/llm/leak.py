@@ -3,9 +3,11 @@
 The index holds one posting per corpus word that occurs in a test item: (term, key, place).
 For every window of ``min_words`` words of an item the ``rarest`` rarest terms of the corpus
 are looked up; their posting lists, adjusted by the place in the item, must intersect in
-enough terms at nearly one offset. A window with at most one edit in ``per_edit`` words
-keeps all but ``min_words / per_edit`` of its terms and moves none by more than that, so no
-case is lost. What is left is aligned exactly, word by word, around that offset.
+enough terms at nearly one offset. A passage of fewer than twice ``min_words`` words may have
+all its edits in the words that its windows share, up to ``(2 * min_words - 2) / per_edit``; a
+longer one has a window with no more than that. Such a window keeps all but so many of its
+terms and moves none by more, so no case is lost. What is left is aligned exactly, word by
+word, around that offset.
 
 Case, punctuation, markup, line breaks and quotation marks are dropped from both sides.
 
@@ -171,7 +173,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         lookup = F.broadcast(lookup)
     slack = min_words // per_edit
     hits = index.join(lookup, "term").withColumn("offset", F.col("place") - F.col("item_place"))
-    width, least = slack + 1, rarest - slack
+    most = max(slack, (2 * min_words - 2) // per_edit)  # edits in the best window of a case
+    width, least = max(most, slack + 1), max(1, rarest - most)
     if small:
         near = _near_local(hits.select(key, item_key, "version", "item_place", "offset"), key, item_key, width, least)
     else:
@@ -189,7 +192,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         out, last, doc = [], None, []
         for t, i, v, bs in zip(texts, ids, versions, bands):
             item = words[i][v]
-            bs = [b for b in bs if max(Counter(a for p in b["places"] for a in windows[i, v, p]).values()) >= rarest - slack]
+            bs = [b for b in bs if max(Counter(a for p in b["places"] for a in windows[i, v, p]).values()) >= least]
             if not bs:
                 out.append(False)
                 continue

@@ -75,3 +75,17 @@ def test_both_ways_of_intersecting(spark, frame, monkeypatch):
     assert found == sorted((k, j) for k, t in docs for j, x in items if L.leaks(t.split(), x.split())) and found
     monkeypatch.setattr(L, "BROADCAST_LOOKUPS", 0)
     assert sorted(tuple(r) for r in L.find_leaks(d, i).collect()) == found
+
+
+def test_edits_in_the_words_that_all_windows_share(spark, frame):
+    item = ITEM[:18]
+    common = item[:6] + item[12:]
+    rng = random.Random(5)
+    docs = [(k, " ".join(w for _ in range(40) for w in (rng.choice(common), "x", "y"))) for k in range(5)]
+    for k, gone in enumerate([(6, 8, 10), (7, 9, 11), (6, 7, 8), (6, 9, 11)]):
+        docs.append((10 + k, " ".join("z" if j in gone else w for j, w in enumerate(item))))
+    inserted = item[:9] + ["z"] + item[9:]
+    docs.append((20, " ".join("z" if w in (item[8], item[10]) else w for w in inserted)))
+    docs.append((21, " ".join("z" if j in (6, 7, 9, 11) else w for j, w in enumerate(item))))
+    d, i = frame(docs, "doc_id long, text string"), frame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in L.find_leaks(d, i).collect()} == {10, 11, 12, 13, 20} == {k for k, t in docs if L.leaks(t.split(), item)}
