@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .split import word_count
 
 RUN, MIN_WORDS, THRESHOLD = 5, 20, 0.8
 BLOCKS, LENGTH, SKETCH_BITS, SKETCH_RADIUS = 10, 4, 3, 42
@@ -138,7 +139,7 @@ def near_classes(df: DataFrame, key: str, text: str = "text", run: int = RUN, mi
 
     links = met.join(texts.toDF("a1", "a2", "ta"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "tb"), ["b1", "b2"])
     links = links.select("a1", "a2", "b1", "b2", exact("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
-    members = base.where(F.size(F.split(F.trim(t), r"\s+")) >= min_words).select(F.col(key), *_content(t)).distinct()
+    members = base.where(word_count(t) >= min_words).select(F.col(key), *_content(t)).distinct()
     return members, links
 
 

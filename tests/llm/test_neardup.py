@@ -87,3 +87,12 @@ def test_components_and_groups(spark, frame):
     rows = [(10, " ".join(base)), (11, " ".join(base)), (12, " ".join([*base[:-1], "x"])), (13, " ".join(["y", *base[1:-1], "x"])), (14, "short"), (15, None), (10, " ".join(base))]
     got = {r["k"]: (r["group_id"], r["n_links"]) for r in N.groups(frame(rows, "k long, text string"), "k", run=3, threshold=0.85).collect()}
     assert {k: g for k, (g, _) in got.items()} == {10: 10, 11: 10, 12: 10, 13: 10, 14: 14, 15: 15} and got[14][1] == 0 and got[12][1] == 2
+
+
+def test_members_have_their_words_counted_as_links(spark, frame):
+    words = [f"w{k}" for k in range(30)]
+    joined = "\xa0".join(words[:15]) + " " + "\u2003".join(words[15:])
+    short = "\n\n" + " ".join(words[:18]) + "\n\n"
+    df = frame([(1, joined), (2, joined + " more"), (3, short), (4, short)], "chunk_uid long, text string")
+    members, links = N.near_classes(df, "chunk_uid", run=3, min_words=20, threshold=0.5)
+    assert {tuple(r) for r in N.near_pairs(members, links, "chunk_uid").collect()} == {(1, 2)}
