@@ -35,7 +35,7 @@ def p3_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_oversized(scan(spark, d, "chunks")).where("n_pieces > 1").select("chunk_uid").distinct()
+    return scan(spark, d, "chunks").where(split.oversized(F.col("text"))).select("chunk_uid").distinct()
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
