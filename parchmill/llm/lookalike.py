@@ -19,6 +19,7 @@ import functools
 import re
 import unicodedata
 from collections import Counter
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -62,12 +63,19 @@ def invisible(c: str) -> bool:
     return unicodedata.category(c) == "Cf" and not 0x0600 <= ord(c) <= 0x08FF or "︀" <= c <= "️" or c in "͏ᅟᅠㅤﾠ឴឵"
 
 
+def _invisible_class() -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in (*range(0x80, 0x3200), *range(0xFE00, 0x10000), *range(0x110BD, 0x110CE), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0001, 0xE0080)) if invisible(chr(c))) + "]")
+
+
+INVISIBLE = _invisible_class()
+
+
 @functools.lru_cache(maxsize=1)
 def classes() -> list[list[str]]:
     """All classes of more than one member; their number does not depend on the corpus."""
     uf = UnionFind()
     nfd = functools.partial(unicodedata.normalize, "NFD")
-    for code in range(0x80, 0x30000):
+    for code in chain(range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x17000), range(0x18D00, 0x20000)):
         c = chr(code)
         kind, _, rest = unicodedata.decomposition(c).partition(" ")
         if invisible(c):

@@ -76,16 +76,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     posts = scan(spark, d, "documents").select("doc_id", "text")
-    return abuse.score_posts(spark, posts).where("score >= 0.5").select("doc_id").distinct()
+    return abuse.score_posts(spark, posts, labels=table(spark, d, "abuse_labels")).where("score >= 0.5").select("doc_id").distinct()
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.score_posts(spark, scan(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.round("score", 6).alias("score")).dropDuplicates(["doc_id"])
+    return abuse.score_posts(spark, scan(spark, d, "documents").select("doc_id", "source", "text"), labels=table(spark, d, "abuse_labels")).select("doc_id", "source", F.round("score", 6).alias("score")).dropDuplicates(["doc_id"])
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     posts = scan(spark, d, "documents").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
-    return abuse.rates(abuse.score_posts(spark, posts))
+    return abuse.rates(abuse.score_posts(spark, posts, labels=table(spark, d, "abuse_labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -50,3 +50,26 @@ def test_scores_and_rates(spark, frame):
     r = A.rates(scored).collect()
     assert sum(x["n_posts"] for x in r) == len(rows) and sum(x["n_abusive"] for x in r) == len(RUDE * 6)
     assert A.score_posts(spark, df.limit(0)).count() == 0
+
+
+def test_raters_teach_what_no_voter_knows(spark, frame):
+    odd = "The Ullmarkers smell and bring bad luck to our village"
+    rows = [(i, f"{CLEAN[i % 3]}. {CLEAN[(i + 1) % 3]}. {odd if i % 4 == 0 else 'The bus was late'}.") for i in range(400)]
+    labels = [(i, int(i % 4 == 0) ^ int(i % 37 == 5), r) for i in range(240) for r in (["a", "b"] if i % 3 else ["a"])]
+    labels += [(None, 1, "a"), (9, None, "b"), (100_000, 1, "a"), (0, 1, "a")]
+    df = frame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in A.score_posts(spark, df, labels=frame(labels, "doc_id long, abusive int, rater string")).collect()}
+    assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(240, 400))
+    empty = frame([], "doc_id long, abusive int, rater string")
+    assert A.score_posts(spark, df, labels=empty).where("score >= 0.5").count() == 0
+
+
+def test_rater_accuracy():
+    assert A.rater_accuracy(0, 0) > 0.9 and abs(A.rater_accuracy(820, 1000) - 0.9) < 0.01 and A.rater_accuracy(0, 1000) == 0.6
+
+
+def test_tasks_keep_the_lowest_hashes(spark, frame):
+    words = "the canal gate lamp oven shelf pump kettle road bench".split()
+    df = frame([(i, " ".join(words[(i * 7 + k * k) % 10] for k in range(6)) + f" w{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(500)], "doc_id long, text string")
+    all_of, some = (A._survey(df.select("text").repartition(3), "text", n).where("i is null").select("h").distinct().orderBy("h").collect() for n in (10_000, 20))
+    assert [r["h"] for r in some[:20]] == [r["h"] for r in all_of[:20]] and len(some) <= 60 < len(all_of)
