@@ -397,6 +397,7 @@ def train_linear(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: f
     own, g = np.zeros(len(names)), np.full(len(names), 1e-2)
     order, rng = np.arange(len(rows)), np.random.RandomState(3)
     batch = max(1, min(batch, len(rows) // 40))
+    epochs = max(epochs, min(40, 3000 // len(rows)))  # few rows need more rounds
     for _ in range(epochs):
         rng.shuffle(order)
         for a in range(0, len(order), batch):
