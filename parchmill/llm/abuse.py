@@ -374,6 +374,8 @@ class LabelModel:
             precision[i] = total / worth
         self.precision = np.clip(precision, 5e-4, 0.98)
         self.weight = np.log(self.precision / (1 - self.precision)) - np.log(p / (1 - p))
+        harmless = np.array([v in BENIGN or v == "plain" for v in VOTERS])
+        self.weight = np.where(harmless, np.minimum(self.weight, 0), np.maximum(self.weight, 0))  # no vote counts against its own side
         sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
         left = (cov - p * (1 - p) * np.outer(d, d)) / np.outer(sd, sd)
         np.fill_diagonal(left, 0)
