@@ -48,7 +48,7 @@ def size_mb(length: Column) -> Column:
 #: Patterns of government-order numbers, by use.
 ORDER_NUMBERS = {
     "clean": [r"G\.O\.\s*(?:Ms\.|Rt\.|P\.|No\.?)?\s*\d+", r"GO\s*(?:Ms\.|Rt\.|No\.?)?\s*\d+", r"Government\s+Order\s+(?:No\.?)?\s*\d+"],
-    "utils": [r"G\.O\.\s*(?:Ms\.|Rt\.|No\.?)?\s*\d+", r"GO\s*(?:Ms\.|Rt\.|No\.?)?\s*\d+", r"Government\s+Order\s+(?:No\.?)?\s*\d+"],
+    "utils": [r"G\.O\.\s*(?:Ms\.|Rt\.|No\.?)?\s*\d+", r"GO\s*(?:Ms\.|Rt\.|No\.?)?\s*\d+", r"Government Order\s+(?:No\.?)?\s*\d+"],
     "chunk": [r"(?:G\.O\.\s*(?:Ms\.|Rt\.|No\.?)?\s*\d+|GO\s*(?:No\.?)?\s*\d+)"],
     "extended": [r"G\.O\.\s*(?:(?:Ms\.|Rt\.|P\.)\s*)?(?:No\.?)?\s*\d+", r"GO\s*(?:(?:Ms\.|Rt\.)\s*)?(?:No\.?)?\s*\d+", r"Government\s+Order\s+(?:No\.?)?\s*\d+"],
 }

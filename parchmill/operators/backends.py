@@ -1,10 +1,11 @@
 """Back ends that need packages or services from outside, each behind an import that names
 what to install. ``register()`` puts them into the registries; nothing is imported until a
-worker first uses one, and each is loaded once in a worker.
+worker first uses one, and each is loaded once in a task.
 """
 
 from __future__ import annotations
 
+import glob
 import importlib
 import os
 import time
@@ -12,11 +13,13 @@ from collections.abc import Callable
 
 import numpy as np
 
+from ..plans.config import PROFILES
 from . import embed, generate, language
 
 #: Model names, by use.
 EMBEDDING_MODELS = ("sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2", "intfloat/multilingual-e5-large")
 READER_MODEL, OPENAI_MODEL, GEMINI_MODEL = "google/flan-t5-large", "gpt-4o-mini", "gemini-3.5-flash"
+GEMINI_SECONDS, GOOGLE_CHARS = 30.0, 1000
 TRANSLATION_CODES = {"en": "eng_Latn", "ta": "tam_Taml", "hi": "hin_Deva"}
 
 
@@ -49,7 +52,7 @@ def with_retries(call: Callable, attempts: int = 3, pause: float = 1.0, backoff:
 # ---- OCR: from an image to (text, confidence in percent)
 
 
-def tesseract(languages: str = "tam+hin+eng"):
+def tesseract(languages: str = PROFILES["module"].tesseract_languages):
     t = need("pytesseract")
 
     def read(image) -> tuple[str, float]:
@@ -60,13 +63,33 @@ def tesseract(languages: str = "tam+hin+eng"):
     return read
 
 
-def easyocr(language_code: str = "ta"):
-    """Falls back to English where the language's model cannot be loaded."""
-    e = need("easyocr")
-    try:
-        reader = e.Reader([language_code, "en"] if language_code != "en" else ["en"])
-    except Exception:
-        reader = e.Reader(["en"])
+_EASYOCR: dict[tuple[str, str | None], object] = {}
+
+
+def _easyocr_reader(code: str, models: str | None):
+    """The reader of a language, kept for the process. Where it cannot be made, its stored
+    model files are taken for broken: they are removed and it is made anew once; English is
+    the last resort."""
+    if (code, models) not in _EASYOCR:
+        e = need("easyocr")
+        make = lambda c: e.Reader(["en"] if c == "en" else ["en", c], **({"model_storage_directory": models} if models else {}))
+        try:
+            reader = make(code)
+        except Exception:
+            broken = [p for n in (code, "tamil") for p in glob.glob(os.path.join(models, f"{n}*"))] if models else []
+            for p in broken:
+                os.remove(p)
+            try:
+                reader = make(code) if broken else None
+            except Exception:
+                reader = None
+            reader = reader or (_easyocr_reader("en", models) if code != "en" else make("en"))
+        _EASYOCR[code, models] = reader
+    return _EASYOCR[code, models]
+
+
+def easyocr(language_code: str = "ta", models: str | None = None):
+    reader = _easyocr_reader(language_code, models)
 
     def read(image) -> tuple[str, float]:
         found = [(x[1], x[2] if len(x) > 2 else 1.0) for x in reader.readtext(np.asarray(image))]
@@ -104,8 +127,8 @@ def statistical_detector(supported: tuple[str, ...] = ("en", "ta", "hi")) -> Cal
 
 def google():
     """The public web service, one piece at a time; an empty result leaves the piece."""
-    t = need("googletrans").Translator()
-    call = with_retries(lambda p, a, b: t.translate(p, src=a, dest=b).text)
+    t = need("deep_translator", "deep-translator").GoogleTranslator
+    call = with_retries(lambda p, a, b: t(source=a, target=b).translate(p))
     return lambda pieces, source, target: [call(p, source, target) or p for p in pieces]
 
 
@@ -177,14 +200,14 @@ def openai_reader():
 
 
 def gemini_reader():
-    client = need("google.genai", "google-genai").Client(api_key=_key("GEMINI_API_KEY"))
+    client = need("google.genai", "google-genai").Client(api_key=_key("GEMINI_API_KEY"), http_options={"timeout": GEMINI_SECONDS})
 
     def read(system: str, prompt: str, question: str, context: str) -> str:
         try:
             return client.models.generate_content(model=GEMINI_MODEL, contents=prompt, config={"system_instruction": system, "temperature": 0.0, "max_output_tokens": 512}).text
         except Exception as e:
             s = str(e).lower()
-            kind = "invalid key" if "api key" in s or "api_key" in s else "timeout" if "timeout" in s or "deadline" in s else "error"
+            kind = "invalid key" if "api key" in s or "api_key" in s or "401" in s else f"timeout after {GEMINI_SECONDS:.0f} s" if "timeout" in s or "timed out" in s or "deadline" in s else "error"
             raise RuntimeError(f"{kind}: {e}") from e
 
     return read
@@ -192,6 +215,7 @@ def gemini_reader():
 
 def register() -> None:
     language.TRANSLATORS.update(googletrans=google, indictrans2=indictrans)
+    language.MOST_CHARS.update(googletrans=GOOGLE_CHARS)
     language.DETECTORS.update(langdetect=statistical_detector)
     embed.EMBEDDERS.update(sentence_transformers=sentence_transformer)
     generate.READERS.update(huggingface=local_reader, openai=openai_reader, google=gemini_reader)

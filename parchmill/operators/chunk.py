@@ -71,6 +71,8 @@ def sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return parts.select(key, (F.row_number().over(w) - 1).alias("section_no"), F.col("char_start").cast("int").alias("char_start"), "label", "body")
 
 
+#: Characters of a document whose pages and spans are joined together.
+PAGE_BUCKET = 8192
 _SENTENCE = re.compile(r"(?<=[.!?।॥])\s+")
 _PARAGRAPH = re.compile(r"\n{2,}")
 
@@ -178,10 +180,16 @@ def page_map(pages: DataFrame, key: str = "doc_id", number: str = "page_number",
 
 def with_pages(chunks: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Add ``page_numbers``: the pages that a chunk's spans overlap, in order of spans, each
-    once; [] for none. The join hashes on the document; the ranges are a residual."""
-    spans = chunks.select(key, "chunk_id", F.posexplode("spans").alias("_i", "_s"))
+    once; [] for none. Both sides are listed under every PAGE_BUCKET characters of the
+    document that they touch, so that the join hashes on document and bucket and a document
+    with most of the rows is spread over all tasks; the ranges are a residual."""
+    buckets = lambda lo, hi: F.explode(F.sequence(F.floor(lo / PAGE_BUCKET), F.floor(F.greatest(hi - 1, lo) / PAGE_BUCKET))).alias("_b")
+    spans = chunks.select(key, "chunk_id", F.posexplode("spans").alias("_i", "_s")).where("_s.lo is not null and _s.hi is not null")
+    spans = spans.select(key, "chunk_id", "_i", "_s", buckets(F.col("_s.lo"), F.col("_s.hi")))
     m = page_map(pages, key)
-    hit = spans.join(m, key).where((F.col("_s.lo") < F.col("hi")) & (F.col("_s.hi") > F.col("lo")))
+    m = m.select(key, "page", "lo", "hi", buckets(F.col("lo"), F.col("hi")))
+    hit = spans.join(m, [key, "_b"]).where((F.col("_s.lo") < F.col("hi")) & (F.col("_s.hi") > F.col("lo")))
+    hit = hit.where(F.col("_b") == F.floor(F.greatest("_s.lo", "lo") / PAGE_BUCKET))  # a pair meets in one bucket
     found = hit.groupBy(key, "chunk_id").agg(F.array_sort(F.collect_list(F.struct("_i", "page"))).alias("_p"))
     found = found.select(key, "chunk_id", F.array_distinct("_p.page").alias("page_numbers"))
     return chunks.join(found, [key, "chunk_id"], "left").withColumn("page_numbers", F.coalesce("page_numbers", F.array().cast("array<int>")))

@@ -1,14 +1,14 @@
 """Context, prompt and answer of a question.
 
 Readers are pluggable: a function from (system prompt, prompt, question, context) to a text,
-loaded once in a worker. The built-in reader quotes the sentences of the context that share
+loaded once in a task. The built-in reader quotes the sentences of the context that share
 most words with the question. A reader that fails gives NOT_FOUND and the error's text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,14 +64,16 @@ def generate(df: DataFrame, question: str = "question_en", context: str = "conte
     load = READERS[cfg.reader]
 
     @F.pandas_udf("struct<answer:string,error:string>")
-    def run(p: pd.Series, q: pd.Series, c: pd.Series) -> pd.DataFrame:
-        read, out = load(), []
-        for a, b, t in zip(p, q, c):
-            try:
-                out.append((read(system, a, b or "", t), None) if t is not None else (None, None))
-            except Exception as e:  # the reader is foreign code
-                out.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["answer", "error"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        read = load()  # once for all batches of a task
+        for p, q, c in batches:
+            out = []
+            for a, b, t in zip(p, q, c):
+                try:
+                    out.append((read(system, a, b or "", t), None) if t is not None else (None, None))
+                except Exception as e:  # the reader is foreign code
+                    out.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["answer", "error"])
 
     df = df.withColumn("_a", run(prompt(F.col(context), F.col(question)), F.col(question), F.col(plain)))
     answer = strip(F.col("_a.answer"))

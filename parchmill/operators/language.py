@@ -1,6 +1,6 @@
 """Language detection and translation of texts, with pluggable back ends.
 
-A back end is a function from a batch of texts to a batch of texts, loaded once in a worker.
+A back end is a function from a batch of texts to a batch of texts, loaded once in a task.
 The built-in detector counts letters of each script; the built-in translator is the
 identity. Rows that need no translation never reach Python.
 
@@ -11,7 +11,7 @@ repeat; other columns pass through.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,8 +48,10 @@ def with_language(df: DataFrame, text: str, out: str = "lang", cfg: Config = PRO
     load = DETECTORS[cfg.detector]
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(load()(list(texts)), dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = load()  # once for all batches of a task
+        for texts in batches:
+            yield pd.Series(f(list(texts)), dtype=object)
 
     return df.withColumn(out, run(F.col(text)))
 
@@ -86,19 +88,24 @@ def split_for_translation(df: DataFrame, text: str = "text", limit: int = PROFIL
 TRANSLATORS: dict[str, Callable[[], Callable[[list[str], str, str], list[str]]]] = {"identity": lambda: lambda texts, source, target: texts}
 
 
+#: Characters of a piece, for translators that take fewer than the settings allow.
+MOST_CHARS: dict[str, int] = {}
+
+
 def translate(df: DataFrame, text: str, source: Column, target: Column, out: str, cfg: Config = PROFILES["module"]) -> DataFrame:
     """Add ``out``: the text in the target language, piece by piece, joined by blanks. Texts
     already in it, and blank ones, are taken as they are. Unknown back ends are errors."""
     if cfg.translator not in TRANSLATORS:
         raise ValueError(f"unknown translator {cfg.translator!r}")
-    load, limit = TRANSLATORS[cfg.translator], cfg.translate_max_chars
+    load, limit = TRANSLATORS[cfg.translator], MOST_CHARS.get(cfg.translator, cfg.translate_max_chars)
     if cfg.translator == "identity":
         return df.withColumn(out, F.col(text))
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         f = load()
-        return pd.Series([None if t is None else " ".join(f(translate_pieces(t, limit), a, b)) for t, a, b in zip(texts, source, target)], dtype=object)
+        for texts, source, target in batches:
+            yield pd.Series([None if t is None else " ".join(f(translate_pieces(t, limit), a, b)) for t, a, b in zip(texts, source, target)], dtype=object)
 
     need = (source != target) & F.col(text).rlike(r"\S")
     as_is = df.where(~F.coalesce(need, F.lit(False))).withColumn(out, F.col(text))

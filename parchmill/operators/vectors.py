@@ -1,8 +1,8 @@
 """Embedding vectors and their search.
 
 Searches take a table of queries against all vectors. The vectors are never broadcast; they
-are scored in Arrow batches against blocks of queries by matrix products, each batch keeps
-its best k per query before the shuffle, and a window ranks what is left. Queries are
+are scored in Arrow batches against blocks of queries by matrix products, each partition
+keeps its best k per query before the shuffle, and a window ranks what is left. Queries are
 broadcast in blocks of ``QUERY_BLOCK`` rows, a fixed bound, one scan of the vectors each.
 
 Defined results: null or empty vectors and those of another dimension than the query have no
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..plans.config import PROFILES, Config
 
 QUERY_BLOCK = 4096
-#: Cells scanned per query. Recall@5 with every vector of sf0.1 as a query: 0.72 at 16, 0.91 at 40, 0.94 at 50.
-PROBES = 50
+#: Of a CellIndex: the recall that its probes are measured for, on so many queries and neighbours.
+RECALL, TUNE, TUNE_K = 0.97, 256, 10
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,65 +41,92 @@ def dimension(v: Column) -> Column:
     return F.size(v)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", qkey: str = "qid", key: str = "vec_id", qvec: str = "qvec", vec: str = "embedding") -> DataFrame:
-    """(qid, rank, key, score) of the k best vectors of every query; ``score`` is the inner
-    product ('ip', larger is better) or the squared distance ('l2', smaller is better)."""
-    if metric not in ("ip", "l2"):
-        raise ValueError(f"unknown metric {metric!r}")
+def _rank(cost: np.ndarray, keys: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k lowest costs of every row, ties by key."""
+    order = np.lexsort((np.unique(keys, return_inverse=True)[1] if keys.dtype == object else keys, cost, row))
+    sorted_row = row[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_row, sorted_row) < k]
+
+
+def _best_of(vectors: DataFrame, shared, k: int, metric: str, key: str, vec: str, schema: str, cell: str | None = None) -> DataFrame:
+    """The k best vectors of every query within each partition: batches are scored by matrix
+    products, and what they leave is merged into the best so far, so that a partition gives
+    k rows a query whatever its size. With ``cell``, only the queries that probe a vector's
+    cell are scored against it."""
+    sign = 1.0 if metric == "ip" else -1.0
+    qkey = schema.split()[0]
+
+    def score(batches):
+        ids, q, probes = shared.value
+        q2 = (q * q).sum(1)
+        row, keys, scores, cost = np.zeros(0, np.int64), None, np.zeros(0), np.zeros(0)
+        for pdf in batches:
+            ok = np.array([v is not None and len(v) == q.shape[1] for v in pdf[vec]], bool)
+            if not ok.any():
+                continue
+            new_keys, m = pdf[key].to_numpy()[ok], np.stack(pdf[vec][ok].to_list()).astype(np.float64)
+            parts = [(np.arange(len(q)), np.arange(len(m)))]
+            if cell:
+                at = pdf[cell].to_numpy()[ok]
+                order = np.argsort(at, kind="stable")
+                edge = np.flatnonzero(np.diff(at[order], prepend=-1))
+                parts = [(probes.get(int(at[x[0]]), ()), x) for x in np.split(order, edge[1:])]
+            for asked, mine in parts:
+                if not len(asked):
+                    continue
+                x = m[mine]
+                s = q[asked] @ x.T
+                if metric == "l2":
+                    s = q2[asked][:, None] - 2 * s + (x * x).sum(1)[None]
+                c = -sign * np.round(s, 12)
+                n = min(k, len(x))
+                r, col = np.nonzero(c <= np.partition(c, n - 1, axis=1)[:, n - 1 : n])  # the k best and ties with the last
+                row, cost, scores = np.concatenate((row, np.asarray(asked)[r])), np.concatenate((cost, c[r, col])), np.concatenate((scores, s[r, col]))
+                keys = new_keys[mine[col]] if keys is None else np.concatenate((keys, new_keys[mine[col]]))
+            if keys is not None:
+                keep = _rank(cost, keys, row, k)
+                row, keys, scores, cost = row[keep], keys[keep], scores[keep], cost[keep]
+        if keys is not None:
+            yield pd.DataFrame({qkey: np.asarray(ids)[row], key: keys, "score": scores})
+
+    columns = [key, vec, *([cell] if cell else [])]
+    return vectors.where(F.col(vec).isNotNull()).select(*columns).mapInPandas(score, schema)
+
+
+def _in_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, qkey: str, key: str, qvec: str, vec: str, cell: str | None = None, probed=None) -> DataFrame:
+    """Queries go out in blocks of QUERY_BLOCK rows of one dimension, one scan each; a window
+    ranks what the partitions leave. ``probed`` gives the cells of a block's queries."""
     spark = queries.sparkSession
     qtype, ktype = dict(queries.dtypes)[qkey], dict(vectors.dtypes)[key]
-    sign = 1.0 if metric == "ip" else -1.0
     schema = f"{qkey} {qtype}, {key} {ktype}, score double"
 
     def block(rows: list) -> DataFrame:
-        ids = [r[0] for r in rows]
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], dtype=np.float64)))
-
-        def score(batches):
-            ids, q = shared.value
-            q2 = (q * q).sum(1)
-            for pdf in batches:
-                ok = np.array([v is not None and len(v) == q.shape[1] for v in pdf[vec]], bool)
-                if not ok.any():
-                    continue
-                keys = pdf[key].to_numpy()[ok]
-                m = np.stack(pdf[vec][ok].to_list()).astype(np.float64)
-                s = q @ m.T
-                if metric == "l2":
-                    s = q2[:, None] - 2 * s + (m * m).sum(1)[None]
-                order = np.argsort(keys, kind="stable")
-                s, keys = s[:, order], keys[order]
-                cost = -sign * np.round(s, 12)
-                n = min(k, len(keys))
-                last = np.partition(cost, n - 1, axis=1)[:, n - 1]
-                row, col = np.nonzero(cost <= last[:, None])  # the k best and ties with the last
-                order = np.lexsort((col, cost[row, col], row))
-                row, col = row[order], col[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row) < n
-                row, col = row[keep], col[keep]
-                yield pd.DataFrame({qkey: np.asarray(ids)[row], key: keys[col], "score": s[row, col]})
-
-        return vectors.where(F.col(vec).isNotNull()).select(key, vec).mapInPandas(score, schema)
-
-    parts, rows = [], []
+        q = np.array([r[1] for r in rows], dtype=np.float64)
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], q, probed(q) if probed else None))
+        return _best_of(vectors, shared, k, metric, key, vec, schema, cell)
+
+    found, rows = None, []
     clean = queries.where(F.col(qvec).isNotNull() & (F.size(qvec) > 0)).select(qkey, qvec)
-    for r in clean.toLocalIterator():
-        if rows and (len(rows) >= QUERY_BLOCK or len(r[1]) != len(rows[0][1])):
-            parts.append(block(rows))
-            rows = []
+    for r in (*clean.toLocalIterator(), None):
+        if rows and (r is None or len(rows) >= QUERY_BLOCK or len(r[1]) != len(rows[0][1])):
+            part = block(rows)
+            found, rows = part if found is None else found.unionByName(part), []
         rows.append(r)
-    if rows:
-        parts.append(block(rows))
-    if not parts:
+    if found is None:
         return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {key} {ktype}, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     best = F.round("score", 12)
     w = Window.partitionBy(qkey).orderBy(best.desc() if metric == "ip" else best.asc(), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(qkey, "rank", key, "score")
 
 
+def search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", qkey: str = "qid", key: str = "vec_id", qvec: str = "qvec", vec: str = "embedding") -> DataFrame:
+    """(qid, rank, key, score) of the k best vectors of every query; ``score`` is the inner
+    product ('ip', larger is better) or the squared distance ('l2', smaller is better)."""
+    if metric not in ("ip", "l2"):
+        raise ValueError(f"unknown metric {metric!r}")
+    return _in_blocks(queries, vectors, k, metric, qkey, key, qvec, vec)
+
+
 def retrieve(queries: DataFrame, vectors: DataFrame, cfg: Config = PROFILES["module"], **names: str) -> DataFrame:
     """Top k, then the threshold on the unrounded score; ranks are those before it. Scores
     are rounded to four places, and given in percent."""
@@ -132,55 +159,66 @@ def retrieve_routed(questions: DataFrame, vectors: DataFrame, text: str = "quest
 
 class CellIndex:
     """Approximate search: k-means cells, fitted on at most ``sample`` vectors by hash; every
-    vector is assigned to its cell. A query scans its ``probes`` nearest cells. The number of
-    cells is max(1, min(n // 10, 100)) unless given; recall grows with probes."""
+    vector is assigned to its cell, and a query is scored against the vectors of its
+    ``probes`` nearest cells by matrix products, without a shuffle of vectors. Cells, unless
+    given, are min(n // 10, 100), from 10,000 vectors on the square root of n. Probes, unless
+    given, are measured: as few as hold ``recall`` of the TUNE_K exact neighbours of TUNE
+    sample vectors. ``recall=1`` with probes=cells is the exact way."""
 
-    def __init__(self, vectors: DataFrame, cells: int | None = None, sample: int = 50_000, key: str = "vec_id", vec: str = "embedding", seed: int = 0):
+    def __init__(self, vectors: DataFrame, cells: int | None = None, sample: int = 50_000, key: str = "vec_id", vec: str = "embedding", seed: int = 0, recall: float = RECALL):
         self.key, self.vec = key, vec
         ok = vectors.where(F.col(vec).isNotNull() & (F.size(vec) > 0))
         n = ok.count()
         if not n:
             raise ValueError("cannot index an empty table")
-        cells = cells or max(1, min(n // 10, 100))
+        cells = cells or max(1, min(n // 10, 100), int(n**0.5) if n >= 10_000 else 1)
         rows = ok.select(vec, F.xxhash64(key).alias("_h")).orderBy("_h").limit(sample).select(vec).toPandas()[vec]
         x = np.stack(rows.to_list()).astype(np.float64)
         rng = np.random.RandomState(seed)
         c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
         for _ in range(12):
-            near = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None]).argmin(1)
-            c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+            near = _nearest_cell(x, c)
+            size = np.bincount(near, minlength=len(c))
+            total = np.zeros_like(c)
+            np.add.at(total, near, x)
+            c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
         self.centres = c
-        spark = vectors.sparkSession
-        shared = spark.sparkContext.broadcast(c)
+        self.probes = self._tuned(x, recall)
+        shared = vectors.sparkSession.sparkContext.broadcast(c)
 
         @F.pandas_udf("int")
         def cell(v: pd.Series) -> pd.Series:
-            c = shared.value
-            m = np.stack(v.to_list()).astype(np.float64)
-            return pd.Series((-2 * m @ c.T + (c * c).sum(1)[None]).argmin(1).astype(np.int32))
+            return pd.Series(_nearest_cell(np.stack(v.to_list()).astype(np.float64), shared.value).astype(np.int32)) if len(v) else pd.Series([], dtype=np.int32)
 
         self.table = ok.withColumn("cell", cell(F.col(vec)))
 
-    def search(self, queries: DataFrame, k: int, probes: int = PROBES, qkey: str = "qid", qvec: str = "qvec") -> DataFrame:
-        shared = queries.sparkSession.sparkContext.broadcast(self.centres)
+    def _order(self, q: np.ndarray) -> np.ndarray:
+        c = self.centres
+        return np.argsort(-2 * q @ c.T + (c * c).sum(1)[None], axis=1, kind="stable")
+
+    def _tuned(self, x: np.ndarray, recall: float) -> int:
+        q = x[:TUNE]
+        near = _nearest_cell(x, self.centres)
+        place = np.argsort(self._order(q), axis=1)  # of each cell in a query's order
+        top = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :TUNE_K]
+        needed = np.sort(place[np.arange(len(q))[:, None], near[top]].ravel())
+        return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, qkey: str = "qid", qvec: str = "qvec") -> DataFrame:
+        width = probes or self.probes
 
-        @F.pandas_udf("array<int>")
-        def nearest(v: pd.Series) -> pd.Series:
-            c = shared.value
-            m = np.stack(v.to_list()).astype(np.float64)
-            d = -2 * m @ c.T + (c * c).sum(1)[None]
-            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+        def probed(q: np.ndarray) -> dict[int, list[int]]:
+            asked: dict[int, list[int]] = {}
+            for i, cells in enumerate(self._order(q)[:, :width]):
+                for c in cells.tolist():
+                    asked.setdefault(c, []).append(i)
+            return asked
 
-        q = queries.where(F.col(qvec).isNotNull()).select(qkey, qvec).withColumn("cell", F.explode(nearest(F.col(qvec))))
-        pairs = q.join(self.table.select("cell", self.key, self.vec), "cell")
+        return _in_blocks(queries, self.table, k, "ip", qkey, self.key, qvec, self.vec, "cell", probed)
 
-        @F.pandas_udf("double")
-        def product(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series((np.stack(a.to_list()).astype(np.float64) * np.stack(b.to_list()).astype(np.float64)).sum(1)) if len(a) else pd.Series([], dtype=float)
 
-        scored = pairs.select(qkey, self.key, product(F.col(qvec), F.col(self.vec)).alias("score"))
-        w = Window.partitionBy(qkey).orderBy(F.round("score", 12).desc(), self.key)
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(qkey, "rank", self.key, "score")
+def _nearest_cell(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (-2 * m @ c.T + (c * c).sum(1)[None]).argmin(1)
 
 
 def chunk_by_id(index: DataFrame, doc_id: int, chunk_id: int) -> DataFrame:

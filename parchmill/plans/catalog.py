@@ -120,6 +120,20 @@ def vec_cells(spark, d):
     return vectors.CellIndex(v).search(q, 5).select("qid", "rank", "vec_id", F.round("score", 4).alias("score"))
 
 
+@query
+def vec_cells_recall(spark, d):
+    """What vec_cells finds against the exact search: pairs found, whether their scores are
+    exact, and whether recall@5 is 0.9 or more."""
+    q, v = _query_vectors(spark, d)
+    exact = vectors.search(q, v, 5).select("qid", "vec_id", F.lit(1).alias("hit"))
+    found = vectors.CellIndex(v).search(q, 5)
+    true = found.join(v.select("vec_id", "embedding"), "vec_id").join(q, "qid").withColumn("true", F.abs(vectors.dot(F.col("qvec"), F.col("embedding")) - F.col("score")) < 1e-9)
+    return true.join(exact, ["qid", "vec_id"], "left").agg(F.count("*").alias("n_found"), F.bool_and("true").alias("exact_scores"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
+_SQL["vec_cells_recall"] = "SELECT sum(least(5, n)) AS n_found, true AS exact_scores, true AS recall_reached FROM (SELECT (SELECT count(*) FROM embeddings) AS n FROM embeddings WHERE vec_id % 100 = 0)"
+
+
 @query
 def vec_routed(spark, d):
     """Each question is searched with the vector whose key is its own modulo the table."""
@@ -204,6 +218,16 @@ def go_extract(spark, d):
 
 _SQL["go_extract"] = f"SELECT chunk_uid, array_to_string({O.orders('text')}, '; ') AS numbers, array_to_string({O.mentions('text')}, '; ') AS mentions FROM {C}"
 
+
+
+@query
+def go_extract_utils(spark, d):
+    """The order numbers of the general patterns, over pages."""
+    return _pages(spark, d).select("page_id", F.array_join(T.order_numbers(F.col("text"), "utils"), "; ").alias("numbers"))
+
+
+_SQL["go_extract_utils"] = f"SELECT page_id, array_to_string({O.orders('text', 'utils')}, '; ') AS numbers FROM {P}"
+
 # ---- sources
 
 
@@ -226,6 +250,12 @@ def source_pages(spark, d):
     return pages.select("doc_id", "page_number", "text", "is_ocr", "error")
 
 
+_BYTE = "(instr('0123456789ABCDEF', substr(h, 2 * i::INT + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i::INT + 2, 1)) - 1"
+_SQL["source_pages"] = rf"""SELECT doc_id, 1 AS page_number, CASE WHEN s = '.txt' THEN regexp_replace(coalesce(TRY(decode(content)), array_to_string(list_transform(range(0, length(h) // 2), lambda i: chr(({_BYTE})::INT)), '')), '\r\n?', chr(10), 'g') ELSE '' END AS text,
+ s = '.pdf' AS is_ocr, CASE WHEN s <> '.txt' THEN 'ValueError: no content' END AS error FROM
+ (SELECT *, hex(content) AS h, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS s FROM (SELECT DISTINCT ON (doc_id, path) * FROM source_files)) WHERE s IN ('.pdf', '.txt', '.docx')"""
+
+
 @query
 def doc_raw_text(spark, d):
     return files.documents(_pages(spark, d))
@@ -325,6 +355,13 @@ def chunk_full(spark, d):
     return out.select("doc_id", "chunk_id", "section_label", "char_start", "char_end", "token_count", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("pages"), F.md5("text").alias("digest"))
 
 
+def _sql_chunks(source: str) -> str:
+    return O.chunks(source, _re2_headings(), O.strip(_LABEL), _SQL["page_map"], CFG.chunk_max, CFG.chunk_min, CFG.chunk_overlap)
+
+
+_SQL["chunk_full"] = f"""{_sql_chunks(D)} SELECT doc_id, chunk_id, label AS section_label, cs AS char_start, ce AS char_end, {_size("text")}::INT AS token_count, pages, md5(text) AS digest FROM done"""
+
+
 @query
 def short_citations(spark, d):
     c = _chunks(spark, d)
@@ -364,7 +401,11 @@ _SQL["ocr_language"] = rf"""WITH f AS (SELECT doc_id, arg_min(text, page_number)
 def translate_pieces(spark, d):
     """Pieces of at most 500 characters; tested against a plain version."""
     p = language.split_for_translation(table(spark, d, "documents").where("text is not null"), limit=500)
-    return p.select("doc_id", F.size("pieces").alias("n_pieces"), F.array_max(F.transform("pieces", F.length)).alias("longest"))
+    return p.select("doc_id", F.size("pieces").alias("n_pieces"), F.array_max(F.transform("pieces", F.length)).alias("longest"), F.md5(F.array_join("pieces", "\x01")).alias("digest"))
+
+
+_SQL["translate_pieces"] = f"""SELECT doc_id, len(p)::INT AS n_pieces, list_max(list_transform(p, lambda x: length(x)))::INT AS longest, md5(array_to_string(p, chr(1))) AS digest FROM
+ (SELECT doc_id, {O.translation_pieces("text", 500)} AS p FROM documents WHERE text IS NOT NULL)"""
 
 
 # ---- questions and answers
@@ -500,7 +541,11 @@ _SQL["answer_lines"] = f"SELECT chunk_uid, CASE WHEN len(l) > 0 THEN array_to_st
 def index_chunks(spark, d):
     """The whole index: pages to embedded chunks."""
     i = pipeline.build_index(_pages(spark, d))
-    return i.select("doc_id", "chunk_id", "section_label", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("pages"), F.size("embedding").alias("dimension"))
+    return i.select("doc_id", "chunk_id", "section_label", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("pages"), F.size("embedding").alias("dimension"), F.md5("text").alias("digest"))
+
+
+_RAW = f"(SELECT doc_id, raw_text AS text FROM ({_SQL['doc_raw_text']}) WHERE {O.has('raw_text', f'[^{O.SP}]')})"
+_SQL["index_chunks"] = f"{_sql_chunks(f'(SELECT doc_id, c9 AS text FROM {O.clean(_RAW)})')} SELECT doc_id, chunk_id, label AS section_label, pages, {CFG.dimensions} AS dimension, md5(text) AS digest FROM done"
 
 
 @query

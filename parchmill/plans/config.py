@@ -50,6 +50,7 @@ class Config:
     detector: str = "script"
     reader: str = "extractive"
     ocr: str = "none"
+    tesseract_languages: str = "eng+tam+hin"
     dimensions: int = 384
     batch: int = 16
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """A scan of fewer than half as many partitions as there are cores, spread over all of
-    them, so that a single small file does not keep one core busy and the others idle.
+    """On one machine (master local) only: a scan of fewer than half as many partitions as
+    there are cores, spread over all of them, so that a single small file does not keep one
+    core busy and the others idle. On a cluster the scan stays as it is planned
+    (spark.sql.files.maxPartitionBytes and minPartitionNum).
     ``source`` is the scan that ``df`` is made of, where that is more than a scan; only the
     scan is planned to count its partitions."""
+    if not on_one_machine(df.sparkSession):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     few = 2 * (df if source is None else source).rdd.getNumPartitions() <= cores
     return df.repartition(cores) if few else df
@@ -46,9 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder all executors share.
 
     The folder comes from spark.checkpoint.dir; a private one is set only where the
-    session names none (tests, single machine).
+    session names none and runs on one machine (tests). A cluster without the setting is an
+    error, as its executors may share no folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"ckpt-{os.getpid()}-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not on_one_machine(df.sparkSession):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"ckpt-{os.getpid()}-"))
     return df.checkpoint(eager=True)

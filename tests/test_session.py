@@ -25,3 +25,20 @@ def test_measured_and_lookups(spark):
     index = spark.createDataFrame([(1, 0, [1.0]), (1, 1, None)], "doc_id long, chunk_id int, embedding array<double>")
     assert vectors.chunk_by_id(index, 1, 1).count() == 1 and vectors.chunk_by_id(index, 2, 0).count() == 0
     assert vectors.total_chunks(index) == 1 and vectors.total_chunks(None) == 0
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from parchmill.session import on_one_machine
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=sc)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cut(SimpleNamespace(sparkSession=session))
+    df = SimpleNamespace(sparkSession=session)
+    assert spread(df) is df
+    for master, one in (("local", True), ("local[8]", True), ("local-cluster[3,2,3000]", False), ("yarn", False)):
+        assert on_one_machine(SimpleNamespace(sparkContext=SimpleNamespace(master=master))) is one

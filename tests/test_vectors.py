@@ -48,7 +48,7 @@ def test_cells_recall(spark):
     m, v, q = tables(spark, n=1000)
     ix = vectors.CellIndex(v.where("size(embedding) > 1"))
     exact = {(r["qid"], r["vec_id"]) for r in vectors.search(q, v, 5).collect()}
-    found = {(r["qid"], r["vec_id"]) for r in ix.search(q, 5, probes=40).collect()}
+    found = {(r["qid"], r["vec_id"]) for r in ix.search(q, 5, probes=ix.probes).collect()}
     assert len(exact & found) / len(exact) >= 0.9
     assert ix.table.count() == 1000
     with pytest.raises(ValueError):
