@@ -61,7 +61,7 @@ def test_find(spark, frame):
     assert L.find_leaks(d.limit(0), i).count() == 0 and L.find_leaks(d, i.limit(0)).count() == 0
 
 
-def test_both_ways_of_intersecting(spark, frame, monkeypatch):
+def test_blocks_of_items_and_small_shards(spark, frame, monkeypatch):
     rng = random.Random(8)
     items = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(20))) for k in range(12)]
     docs = []
@@ -73,7 +73,8 @@ def test_both_ways_of_intersecting(spark, frame, monkeypatch):
     d, i = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
     found = sorted(tuple(r) for r in L.find_leaks(d, i).collect())
     assert found == sorted((k, j) for k, t in docs for j, x in items if L.leaks(t.split(), x.split())) and found
-    monkeypatch.setattr(L, "BROADCAST_LOOKUPS", 0)
+    monkeypatch.setattr(L, "ITEM_WORDS", 50)
+    monkeypatch.setattr(L, "SHARD_WORDS", 300)
     assert sorted(tuple(r) for r in L.find_leaks(d, i).collect()) == found
 
 
@@ -89,3 +90,11 @@ def test_edits_in_the_words_that_all_windows_share(spark, frame):
     docs.append((21, " ".join("z" if j in (6, 7, 9, 11) else w for j, w in enumerate(item))))
     d, i = frame(docs, "doc_id long, text string"), frame([(1, " ".join(item))], "item_id long, text string")
     assert {r["doc_id"] for r in L.find_leaks(d, i).collect()} == {10, 11, 12, 13, 20} == {k for k, t in docs if L.leaks(t.split(), item)}
+
+
+def test_the_shortest_run_of_a_case():
+    assert L.phrase_words() == 4 and L.phrase_words(12, 100) == 12
+    for n in range(12, 60):
+        for edits in range(n // 6 + 1):
+            kept, runs = n - edits, edits + 1
+            assert -(-kept // runs) >= L.phrase_words()
