@@ -4,10 +4,13 @@ An averaged perceptron edits characters. At every site where a known confusion c
 happened it predicts one operation: keep, replace, delete, insert (a confusion of two
 characters with one is a replacement with a deletion or an insertion), and at a line's end
 join or keep. Its features are the characters around the site, the kind of confusion, the
-shape of the word, and how often the corpus has the word as read and as repaired (counts over
-all pages, by a join of distinct words). It is trained on words of pages that are not
-scanned, with confusions and line breaks put in: a bounded, hash-chosen sample of
-``TRAIN_WORDS`` words.
+shape of the word, and how often the corpus has the word as read and as repaired. All
+words that confusions can turn into one another fold to one form, so that the repairs the
+corpus knows are the words of the same form: one row a word, any number of confusions, and no
+list of variants. Of these the one is looked at that is most frequent for the confusions it
+takes; where there is none, every mark inside letters is a site with its own options. The
+perceptron is trained on words of pages that are not scanned, with confusions and line breaks
+put in: a bounded, hash-chosen sample of ``TRAIN_WORDS`` words.
 
 Running headers and footers are lines at a page's edge that recur at the edges of the file's
 other pages; lines that occur once are judged by a second perceptron on their words and
@@ -38,11 +41,11 @@ from .sentences import _HEAD
 TRAIN_WORDS, TRAIN_LINES, EDGE = 9000, 6000, 3
 #: What is printed, and what is read for it.
 CONFUSIONS = """
-e c  c e  a @  t +  o 0  i !  l !  l 1  i 1  l |  i |  I l  I |  I 1  l I  g 9  q 9  S 5  s 5  B 8  b 6  f ſ  O 0  Z 2  z 2  s $  a ä
+e c  c e  a @  t +  o 0  i !  l !  l 1  i 1  l |  i |  I l  I |  I 1  l I  g 9  q 9  S 5  s 5  B 8  b 6  f ſ  O 0  Z 2  z 2  s $
 n ri  m rn  d cl  u ii  h li  w vv  li h  cl d  rn m  ri n  ii u  vv w  h b  । |  ॥ ||
 1 l  0 O  1 I  1 !  1 |
 """.split()
-PAIRS = sorted(set(zip(CONFUSIONS[::2], CONFUSIONS[1::2])) - {("a", "ä")})
+PAIRS = sorted(set(zip(CONFUSIONS[::2], CONFUSIONS[1::2])))
 HYPHENS = "-‐‑¬­"
 _TOKEN = re.compile(r"\S+")
 _OUTER = "“”‘’\"'«»()[]{}„¿¡,;:.?…"
@@ -93,12 +96,9 @@ def is_scanned(lines: list[str], is_ocr, confidence) -> bool:
     return rated or wraps == 1 and is_ocr is not None and bool(is_ocr)
 
 
-def page_lines(text: str, page, is_ocr, confidence):
-    """(line number, line, distance from the page's edge) of each line of a scanned page that
-    is not blank; None for other pages."""
+def full_lines(text: str) -> list[tuple[int, str, int]]:
+    """(line number, line, distance from the page's edge) of each line that is not blank."""
     lines = text.split("\n")
-    if not is_scanned(lines, is_ocr, confidence):
-        return None
     full = [i for i, x in enumerate(lines) if x.strip()]
     return [(i, lines[i], min(k, len(full) - 1 - k)) for k, i in enumerate(full)]
 
@@ -128,42 +128,59 @@ def sites(word: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def repairs(word: str, most: int = 40) -> list[tuple[str, tuple]]:
-    """Words this one may have been, by one or two confusions. Marks and figures inside
-    letters are all repaired first, as words hold none."""
-    hard = [s for s in sites(word) if not s[1].isalpha() or s[1] == "ſ"] if any(c.isalpha() for c in word) else []
-    out: dict[str, tuple] = {}
-    bases = [(word, ())]
-    if hard:
-        done: dict[int, list] = defaultdict(list)
-        for s in hard:
-            done[s[0]].append(s)
-        for _, options in sorted(done.items())[:4]:
-            bases = [(b, e) for b, e in bases] + [(b, (*e, o)) for b, e in bases for o in options]
-            bases = bases[:64]
-    for _, edits in bases:
-        w = word
-        for at, read, printed in sorted(edits, reverse=True):
-            w = w[:at] + printed + w[at + len(read) :]
-        if edits:
-            out.setdefault(w, edits)
-    soft = [s for s in sites(word) if s[1].isalpha() and s[1] != "ſ"]
-    for w, edits in [(word, ()), *list(out.items())[:12]]:
-        for at, read, printed in soft:
-            shift = sum(len(p) - len(r) for a, r, p in edits if a < at)
-            if w[at + shift : at + shift + len(read)] == read:
-                out.setdefault(w[: at + shift] + printed + w[at + shift + len(read) :], (*edits, (at, read, printed)))
-    singles = [s for s in soft]
-    if not hard:
-        for i, a in enumerate(singles):
-            for b in singles[i + 1 :]:
-                if abs(a[0] - b[0]) >= 2 and len(out) < 400:
-                    w = word
-                    for at, read, printed in sorted((a, b), reverse=True):
-                        w = w[:at] + printed + w[at + len(read) :]
-                    out.setdefault(w, (a, b))
-    out.pop(word, None)
-    return list(out.items())
+_FORM = {
+    **dict.fromkeys("ec", "e"), **dict.fromkeys("a@", "a"), **dict.fromkeys("t+", "t"), **dict.fromkeys("o0", "o"), **dict.fromkeys("il!1|।", "i"), **dict.fromkeys("g9q", "g"), **dict.fromkeys("s5$", "s"),
+    **dict.fromkeys("b86hu॥", "ii"), **dict.fromkeys("fſ", "f"), **dict.fromkeys("z2", "z"), "n": "ri", "m": "rri", "d": "ei", "w": "vv",
+}
+_FORMS = str.maketrans(_FORM)
+
+
+def form(key: str) -> str:
+    """The form that a key shares with every key that confusions make of it: each character
+    by itself becomes a string, and both sides of every confusion become the same one."""
+    return key.translate(_FORMS)
+
+
+def word_form(word: str) -> str:
+    return form(_key(word.replace("ſ", "f")))
+
+
+_READ: dict[str, list[tuple[str, str, str]]] = defaultdict(list)
+for _printed, _seen in PAIRS:
+    _READ[_seen[0]].append((_seen, _printed, _printed.casefold()))
+
+
+def path(word: str, key: str) -> tuple | None:
+    """The fewest confusions (place in ``word``, read, printed) that make ``word``, but for case
+    and closing marks, of ``key``; None if none do. Figures and marks without a letter beside
+    them are no confusions, and a letter by itself is an initial as well as a figure."""
+    if len(word.rstrip(_CLOSING)) < 2 or not any(c.isalpha() for c in word):
+        return None
+    return _path(word, key, len(word)) or _path(word, key, len(word.rstrip(_CLOSING)))
+
+
+def _path(word: str, key: str, end: int) -> tuple | None:
+    best: dict[tuple[int, int], tuple[int, tuple]] = {(0, 0): (0, ())}
+    for i in range(end):
+        for (a, j), (n, edits) in [x for x in best.items() if x[0][0] == i]:
+            c = word[i].casefold()
+            steps = [(i + 1, j + len(c), n, edits)] if key.startswith(c, j) else []
+            steps += [(i + len(read), j + len(low), n + 1, (*edits, (i, read, printed))) for read, printed, low in _READ.get(word[i], ()) if key.startswith(low, j) and word.startswith(read, i) and i + len(read) <= end]
+            for x, y, m, e in steps:
+                if (x, y) not in best or (m, e) < best[x, y]:
+                    best[x, y] = (m, e)
+    got = best.get((end, len(key)))
+    return got[1] if got else None
+
+
+def mark_sites(word: str) -> dict[int, list[tuple]]:
+    """Place -> options, of marks and figures inside a word with letters."""
+    out: dict[int, list[tuple]] = {}
+    if any(c.isalpha() for c in word):
+        for at, read, printed in sites(word):
+            if not read.isalpha() or read == "ſ":
+                out.setdefault(at, []).append((at, read, printed))
+    return out
 
 
 def operation(read: str, printed: str) -> str:
@@ -174,18 +191,18 @@ def _bucket(n: float) -> int:
     return int(np.log2(n + 1) * 1.0)
 
 
-def edit_features(word: str, edits: tuple, own: int, other: int) -> list[str]:
+def edit_features(word: str, edits: tuple, own: int, other: int, site: tuple) -> list[str]:
+    """Features of one of the edits that make a repair."""
     if all(e[1:] in (("|", "।"), ("||", "॥")) for e in edits):
         own = 0  # words are counted without their closing mark
     common = own * 8 > other
     f = [f"common{common}", f"common{common} {'mark' if any(not r.isalpha() for _, r, _ in edits) else 'soft'}", f"own{min(_bucket(own), 8)}", f"other{min(_bucket(other), 10)}", f"ratio{max(-8, min(12, round(np.log2((other + 0.5) / (own + 0.5)))))}", f"n{len(edits)}", f"seen{own > 1}{other > 0}"]
     shape = ("D" if any(c.isdigit() for c in word) else "") + ("a" if any(c.isalpha() for c in word) else "") + ("U" if word.isupper() else "C" if word[:1].isupper() else "l")
-    for at, read, printed in edits:
-        kind = "mark" if not read.isalpha() else "soft"
-        before, after = word[max(0, at - 2) : at], word[at + len(read) : at + len(read) + 2]
-        inside = bool(before[-1:].isalpha()) + 2 * bool(after[:1].isalpha())
-        f += [f"{read}>{printed}", f"{read}>{printed} {inside}{shape}", f"{kind}{inside}{shape}", f"{read}>{printed} {before[-1:]}_{after[:1]}", f"{read}>{printed} o{other > 0} w{min(own, 3)}", f"{kind} o{min(_bucket(other), 5)} w{min(_bucket(own), 5)}", f"{read} L{before}", f"{read} R{after}"]
-    return f
+    at, read, printed = site
+    kind = "mark" if not read.isalpha() else "soft"
+    before, after = word[max(0, at - 2) : at], word[at + len(read) : at + len(read) + 2]
+    inside = bool(before[-1:].isalpha()) + 2 * bool(after[:1].isalpha())
+    return [*f, f"{read}>{printed}", f"{read}>{printed} {inside}{shape}", f"{kind}{inside}{shape}", f"{read}>{printed} {before[-1:]}_{after[:1]}", f"{read}>{printed} o{other > 0} w{min(own, 3)}", f"{kind} o{min(_bucket(other), 5)} w{min(_bucket(own), 5)}", f"{read} L{before}", f"{read} R{after}"]
 
 
 def join_features(left: str, mark: str, right: str, joined: int, hyphened: int) -> list[str]:
@@ -239,25 +256,38 @@ def _continuation(lines: list[tuple[int, str, int]], k: int) -> tuple[int, str,
     return None
 
 
-def _lines_of(pages: DataFrame) -> DataFrame:
+_PAGE_COLS = ["page_id", "doc_id", "page_number", "text", "is_ocr", "confidence"]
+
+
+def _scanned(pages: DataFrame) -> DataFrame:
+    """The scanned pages: (page_id, doc_id, page_number, text)."""
+
+    @F.pandas_udf("boolean")
+    def scanned(text: pd.Series, ocr: pd.Series, conf: pd.Series) -> pd.Series:
+        return pd.Series([bool(t.strip()) and is_scanned(t.split("\n"), o, c) for t, o, c in zip(text, ocr, conf)], dtype=bool)
+
+    return pages.where("text is not null").where(scanned("text", "is_ocr", "confidence")).select("page_id", "doc_id", "page_number", "text")
+
+
+def _number(page) -> int | None:
+    return None if page is None or page != page else int(page)
+
+
+def _edges(scanned: DataFrame) -> DataFrame:
+    """The lines at the edges of scanned pages that are not page numbers."""
+
     def run(batches):
         for pdf in batches:
             rows = []
-            for pid, doc, page, text, ocr, conf in pdf.itertuples(index=False):
-                if text is None or not text.strip():
-                    continue
-                page = None if page is None or page != page else int(page)
-                got = page_lines(text, page, ocr, conf)
-                if got is None:
-                    continue
-                for k, (i, line, edge) in enumerate(got):
-                    nxt = _continuation(got, k)
-                    rows.append((pid, doc, page, i, line, nxt[1] if nxt else None, nxt[0] if nxt else None, edge, skeleton(line, page) if edge < EDGE else None, edge < EDGE and page_figure(line, page), len(got)))
+            for pid, doc, page, text in pdf.itertuples(index=False):
+                page, got = _number(page), full_lines(text)
+                for i, line, edge in got:
+                    if edge < EDGE and not page_figure(line, page):
+                        rows.append((pid, doc, page, i, line, edge, skeleton(line, page), len(got)))
             if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "doc_id", "page_number", "line_no", "line", "next_line", "next_no", "edge", "skeleton", "figure", "n_lines"]).astype({"next_no": "Int32"})
+                yield pd.DataFrame(rows, columns=["page_id", "doc_id", "page_number", "line_no", "line", "edge", "skeleton", "n_lines"]).astype({"page_number": "Int32"})
 
-    cols = ["page_id", "doc_id", "page_number", "text", "is_ocr", "confidence"]
-    return pages.select(*cols).mapInPandas(run, "page_id long, doc_id long, page_number int, line_no int, line string, next_line string, next_no int, edge int, skeleton string, figure boolean, n_lines int")
+    return scanned.mapInPandas(run, "page_id long, doc_id long, page_number int, line_no int, line string, edge int, skeleton string, n_lines int")
 
 
 def line_features(line: str, page, edge: int, n_lines: int) -> list[str]:
@@ -272,17 +302,16 @@ def line_features(line: str, page, edge: int, n_lines: int) -> list[str]:
     return f
 
 
-def _header_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
+def _header_lines(spark: SparkSession, edge: DataFrame) -> DataFrame:
     """(page_id, line_no) of running headers and footers."""
-    edge = lines.where(F.col("edge") < EDGE).where(~F.col("figure"))
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page_id").alias("pages"))
     seen = edge.where(F.length("skeleton") >= 6).groupBy("doc_id", "skeleton").agg(F.count_distinct("page_id").alias("on"))
-    facts = edge.join(seen, ["doc_id", "skeleton"], "left").join(pages, "doc_id").withColumn("on", F.coalesce("on", F.lit(1)))
+    facts = edge.join(seen, ["doc_id", "skeleton"], "left").withColumn("on", F.coalesce("on", F.lit(1)))
     open_end = ~F.rtrim("line").rlike("[.!?…।॥。！？|,;][\"'”’“»」)\\]]*$")
     facts = facts.withColumn("open_end", open_end).withColumn("h", F.xxhash64("page_id", "line_no"))
     # Lines that recur are headers; lines that don't, in files of many pages, are not.
     yes = facts.where("on >= 3 and open_end").orderBy("h").limit(TRAIN_LINES // 2)
-    no = facts.where("on = 1 and pages >= 6").orderBy("h").limit(TRAIN_LINES)
+    pages = edge.groupBy("doc_id").agg(F.count_distinct("page_id").alias("pages")).where("pages >= 6")
+    no = facts.where("on = 1").orderBy("h").limit(4 * TRAIN_LINES).join(pages, "doc_id", "left_semi").orderBy("h").limit(TRAIN_LINES)
     cols = ["line", "page_number", "edge", "n_lines"]
     rows = [(r, "header") for r in yes.select(*cols).collect()] + [(r, "other") for r in no.select(*cols).collect()]
     model = Perceptron.train([(line_features(r["line"], r["page_number"], r["edge"], r["n_lines"]), ("other", "header"), y) for r, y in rows], 6)
@@ -299,46 +328,138 @@ def _header_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
 _EDITS = "array<struct<at:int,read:string,printed:string>>"
 
 
-def _words_of(lines: DataFrame) -> DataFrame:
-    """One row per token of the running lines: (page_id, line_no, next_no, word, split,
-    at). A word broken at a line end is one row, with the length of its first part."""
+def body_of(text: str, page: int | None, drop: set[int]):
+    """(line number, line, following line or None, its number, whether it begins with the rest of
+    a broken word) of the lines that are neither dropped nor page numbers."""
+    got = full_lines(text)
+    keep = [k for k, (i, line, edge) in enumerate(got) if i not in drop and not (edge < EDGE and page_figure(line, page))]
+    kept = {got[k][0] for k in keep}
+    rest = set()
+    out = []
+    for k in keep:
+        i, line, _ = got[k]
+        nxt = _continuation(got, k)
+        if nxt and _BROKEN.search(line.rstrip()):
+            rest.add(nxt[0])
+        out.append((i, line, nxt[1] if nxt and nxt[0] in kept else None, nxt[0] if nxt and nxt[0] in kept else None))
+    return [(*x, x[0] in rest) for x in out]
+
+
+_BROKEN = re.compile(f"[^\\W_][{HYPHENS}]$")
+
+
+def tokens_of(line: str, nxt: str | None, continues: bool) -> tuple[list[tuple[str, int]], tuple | None]:
+    """The words of a running line, and of its last, if broken off, (first part, rest, mark)."""
+    toks = [(m.group(), m.start()) for m in _TOKEN.finditer(line)]
+    if continues and toks:
+        toks = toks[1:]
+    broken, tail = line.rstrip(), None
+    if nxt and len(broken) > 1 and broken[-1] in HYPHENS and broken[-2].isalnum() and toks:
+        last = toks.pop()[0]
+        head = strip_outer(last)[0].rstrip(HYPHENS)
+        rest = strip_outer(nxt.split()[0])[0] if nxt.split() else ""
+        if head and rest:
+            tail = (head, rest, broken[-1])
+    words = []
+    for t, at in toks:
+        w, left = strip_outer(t)
+        if w:
+            words.append((w, at + left))
+    return words, tail
+
+
+def broken_words(head: str, rest: str, mark: str) -> list[tuple[str, int]]:
+    """Words that a broken one may be, with the length of the part on the first line."""
+    return [(head + rest, len(head)), *([(f"{head}-{rest}", len(head) + 1)] if mark in "-‐‑" else [])]
+
+
+_MARKS = "page_id long, line_no int, kind string, next_no int, head string, rest string, mark string"
+
+
+def _marks(scanned: DataFrame) -> DataFrame:
+    """Page numbers, stray marks and broken words of scanned pages without their headers."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for pid, no, line, nxt, nxt_no, cont in pdf.itertuples(index=False):
-                toks = [(m.group(), m.start()) for m in _TOKEN.finditer(line)]
-                if cont and toks:
-                    toks = toks[1:]
-                broken = line.rstrip()
-                tail = None
-                if nxt and len(broken) > 1 and broken[-1] in HYPHENS and broken[-2].isalnum():
-                    tail = toks.pop() if toks else None
-                for t, at in toks:
-                    w, left = strip_outer(t)
-                    if w:
-                        rows.append((pid, no, None, w, None, at + left, None))
-                if tail:
-                    first = strip_outer(tail[0])[0]
-                    head = first.rstrip(HYPHENS) if first else ""
-                    rest = strip_outer(nxt.split()[0])[0] if nxt.split() else ""
-                    if head and rest:
-                        rows.append((pid, no, int(nxt_no), head + rest, len(head), tail[1], broken[-1]))
-                        if broken[-1] in "-‐‑":  # the hyphen may be the word's own
-                            rows.append((pid, no, int(nxt_no), f"{head}-{rest}", len(head) + 1, tail[1], None))
+            for pid, page, text, drop in pdf.itertuples(index=False):
+                page = _number(page)
+                drop = set() if drop is None else {int(x) for x in drop}
+                rows += [(pid, i, "pageno", None, None, None, None) for i, line, edge in full_lines(text) if edge < EDGE and page_figure(line, page)]
+                for i, line, nxt, no, continues in body_of(text, page, drop):
+                    if stray(line):
+                        rows.append((pid, i, "stray", None, None, None, None))
+                    tail = tokens_of(line, nxt, continues)[1]
+                    if tail:
+                        rows.append((pid, i, "broken", no, *tail))
+            if rows:
+                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kind", "next_no", "head", "rest", "mark"]).astype({"next_no": "Int32"})
+
+    return scanned.select("page_id", "page_number", "text", "drop").mapInPandas(run, _MARKS)
+
+
+#: Bits of the filter that tokens pass before the join with misread words; of fixed size, it
+#: lets more pass as there are more of these, and never holds one back.
+FILTER_BITS = 1 << 23
+
+
+def _bit(words) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) % FILTER_BITS for w in words), np.int64)
+
+
+def _filter_of(words: DataFrame) -> np.ndarray:
+    """The filter of all words: bitmaps of 32,768 bits are put together by the executors, at
+    most FILTER_BITS in all."""
+
+    @F.pandas_udf("long")
+    def bit(w: pd.Series) -> pd.Series:
+        return pd.Series(_bit(w))
+
+    b = words.select(bit("word").alias("b"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for n, m in b.groupBy(F.floor(F.col("b") / 32768).alias("n")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("m")).collect():
+        bits[n * 4096 : (n + 1) * 4096] = np.frombuffer(m, np.uint8)
+    return np.unpackbits(bits, bitorder="little").astype(bool)
+
+
+def _words_of(spark: SparkSession, scanned: DataFrame, misread: DataFrame) -> DataFrame:
+    """(page_id, line_no, next_no, word, split) of the words of running lines that the filter of
+    misread words lets pass. A broken word is one row, with the length of its first part."""
+    shared = spark.sparkContext.broadcast(np.packbits(_filter_of(misread), bitorder="little"))
+
+    def run(batches):
+        bits = np.unpackbits(shared.value, bitorder="little").astype(bool)
+        known: dict[str, bool] = {}
+        for pdf in batches:
+            rows = []
+            if len(known) > 500_000:
+                known.clear()
+            for pid, page, text, drop in pdf.itertuples(index=False):
+                drop = set() if drop is None else {int(x) for x in drop}
+                for i, line, nxt, no, continues in body_of(text, _number(page), drop):
+                    words, tail = tokens_of(line, nxt, continues)
+                    found = [(w, None, None) for w, _ in words] + ([(w, no, k) for w, k in broken_words(*tail)] if tail else [])
+                    for w, n, k in found:
+                        if w not in known:
+                            known[w] = bool(bits[xxhash.xxh3_64_intdigest(w) % FILTER_BITS])
+                        if known[w]:
+                            rows.append((pid, i, n, w, k))
             if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "line_no", "next_no", "word", "split", "at", "mark"]).astype({"split": "Int32", "next_no": "Int32"})
+                yield pd.DataFrame(rows, columns=["page_id", "line_no", "next_no", "word", "split"]).astype({"split": "Int32", "next_no": "Int32"})
+
+    return scanned.select("page_id", "page_number", "text", "drop").mapInPandas(run, "page_id long, line_no int, next_no int, word string, split int")
 
-    return lines.select("page_id", "line_no", "line", "next_line", "next_no", "continues").mapInPandas(run, "page_id long, line_no int, next_no int, word string, split int, at int, mark string")
+
+_CLOSING = ".,;:!?|।॥"
 
 
 def _key(word: str) -> str:
     """The form under which words are counted: case folded, closing marks off."""
-    return word.casefold().rstrip(".,;:!?|।॥") or word.casefold()
+    return word.casefold().rstrip(_CLOSING) or word.casefold()
 
 
 def _page_words(pages: DataFrame) -> DataFrame:
-    """(word, n, clean): words of all pages with counts; clean counts pages not scanned."""
+    """(word, key, n, clean): words of all pages with counts; clean counts pages not scanned."""
 
     def run(batches):
         for pdf in batches:
@@ -353,46 +474,83 @@ def _page_words(pages: DataFrame) -> DataFrame:
                         c = n[w]
                         c[0] += 1
                         c[1] += clean
-            yield pd.DataFrame([(k, a, b) for k, (a, b) in n.items()], columns=["word", "n", "clean"])
+            yield pd.DataFrame([(k, _key(k), a, b) for k, (a, b) in n.items()], columns=["word", "key", "n", "clean"])
 
-    return pages.select("text", "is_ocr", "confidence").mapInPandas(run, "word string, n long, clean long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+    return pages.select("text", "is_ocr", "confidence").mapInPandas(run, "word string, key string, n long, clean long").groupBy("word", "key").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
 
-def _evidence(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """(word, own, options): for each distinct word its count and, of its possible repairs,
-    those the corpus has, with counts. Words join the counts by key; no table is collected."""
+def _groups(counts: DataFrame) -> DataFrame:
+    """(form, group): the keys of each form with their counts."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for (w,) in pdf.itertuples(index=False):
-                rows.append((w, _key(w), None))
-                for v, edits in repairs(w):
-                    rows.append((w, _key(v), [{"at": a, "read": r, "printed": p} for a, r, p in edits]))
-            if rows:
-                yield pd.DataFrame(rows, columns=["word", "key", "edits"])
-
-    keyed = words.select("word").distinct().mapInPandas(run, f"word string, key string, edits {_EDITS}")
-    got = keyed.join(counts, "key", "left")
-    return got.groupBy("word").agg(
-        F.coalesce(F.max(F.when(F.col("edits").isNull(), F.col("n"))), F.lit(0)).alias("own"),
-        F.collect_list(F.when(F.col("edits").isNotNull() & F.col("n").isNotNull(), F.struct(F.col("n").alias("n"), F.col("edits").alias("edits")))).alias("options"),
-    )
+    @F.pandas_udf("string")
+    def to_form(keys: pd.Series) -> pd.Series:
+        return pd.Series([form(k) for k in keys], dtype=object)
 
+    return counts.groupBy(to_form("key").alias("form")).agg(F.collect_list(F.struct("n", "key")).alias("group"))
 
-LEGAL_OPS = ("keep", "replace", "delete", "insert")
 
+def _evidence(words: DataFrame, groups: DataFrame) -> DataFrame:
+    """(word, marks, group): distinct words with the counted keys of their form, without and with
+    their closing marks."""
 
-def choose(word: str, own: int, options: list[tuple[int, tuple]]) -> tuple[int, tuple] | None:
-    """The repair to be judged: of those the corpus has the most frequent, fewest edits
-    first at a tie; of none, the repair of marks inside letters."""
-    if options:
-        return max(options, key=lambda o: (o[0] / 4 ** len(o[1]), -len(o[1]), o[1]))
-    if any(c.isalpha() for c in word):
-        for _, edits in repairs(word):
-            if all(not r.isalpha() or r == "ſ" for _, r, _ in edits) and len({a for a, _, _ in edits}) == len({a for a, r, _ in sites(word) if not r.isalpha() or r == "ſ"}):
-                return 0, edits
-    return None
+    @F.pandas_udf("string")
+    def to_form(w: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([form(x.replace("ſ", "f").casefold()) if m else word_form(x) for x, m in zip(w, marks)], dtype=object)
+
+    one = words.select("word").distinct()
+    # A closing bar or exclamation mark may be a letter: such words are looked up with it, too.
+    whole = one.where(F.col("word").rlike(r"\p{L}[|!]+$")).select("word", F.lit(True).alias("marks"))
+    both = one.select("word", F.lit(False).alias("marks")).union(whole).withColumn("form", to_form("word", "marks"))
+    return both.join(groups, "form", "left").select("word", "marks", "group")
+
+
+def legal(e: tuple) -> tuple[str, str]:
+    """What may be done at a site: nothing, or the operation that its confusion takes back."""
+    return "keep", operation(*e[1:])
+
+
+def candidate(word: str, group: list[tuple[int, str]]) -> tuple[int, int, tuple]:
+    """(own count, the repair's count, its edits). The repair is the key of the group that has the
+    highest count, a quarter for each confusion it takes, and no lower count than the word;
+    a closing bar in a script with dandas is one, of the word itself. No edits: none."""
+    key = _key(word)
+    own = next((n for n, k in group if k == key), 0)
+    best: tuple = (0.0, 0, ())
+    for n, k in sorted(group, reverse=True):
+        if n < own or n / 4 < best[0]:
+            break  # at least one confusion
+        if k != key and (edits := path(word, k)):
+            value = n / 4 ** len(edits)
+            if value > best[0] or value == best[0] and len(edits) < len(best[2]):
+                best = (value, n, edits)
+    bars = len(word) - len(word.rstrip("|"))
+    if 0 < bars <= 2 and "ऀ" <= word[: -bars][-1:] <= "ॿ" and own / 4 >= best[0]:
+        best = (own / 4, own, ((len(word) - bars, "|" * bars, "।" if bars == 1 else "॥"),))
+    return own, best[1], best[2]
+
+
+def edit(p: Perceptron, word: str, group: list[tuple[int, str]], marks: bool = False) -> tuple:
+    """The edits that the perceptron predicts, site by site. ``marks``: the group is that of the
+    word with its closing marks."""
+    own, other, edits = candidate(word, group)
+    if edits or marks:
+        return tuple(e for e in edits if p.best(edit_features(word, edits, own, other, e), legal(e)) != "keep")
+    out, end = [], 0
+    marks = mark_sites(word)
+    for at in sorted(marks):
+        if at < end:
+            continue
+        found = []
+        for e in marks[at]:
+            s = p.scores(edit_features(word, (e,), own, 0, e), legal(e))
+            gain = s[legal(e)[1]] - s["keep"]
+            if gain > 0:
+                found.append((gain, e))
+        if found:
+            e = max(found)[1]
+            out.append(e)
+            end = at + len(e[1])
+    return tuple(out)
 
 
 def spoil(word: str, rng: random.Random) -> tuple[str, tuple] | None:
@@ -406,7 +564,7 @@ def spoil(word: str, rng: random.Random) -> tuple[str, tuple] | None:
     return word[:at] + read + word[at + len(printed) :], ((at, read, printed),)
 
 
-def _train_editor(spark: SparkSession, pages: DataFrame, counts: DataFrame, raw: DataFrame) -> dict:
+def _train_editor(spark: SparkSession, groups: DataFrame, raw: DataFrame) -> dict:
     sample = [(r["word"], r["clean"]) for r in raw.where("clean > 0").withColumn("h", F.xxhash64("word")).orderBy("h").limit(TRAIN_WORDS).select("word", "clean").collect()]
     rng = random.Random(4)
     bad = {}
@@ -416,72 +574,70 @@ def _train_editor(spark: SparkSession, pages: DataFrame, counts: DataFrame, raw:
     clean = {w for w, _ in sample}
     words = spark.createDataFrame([(w,) for w in sorted(clean | set(bad))], "word string") if sample else None
     data = []
-    if words is not None:
-        for r in _evidence(words, counts).collect():
-            w = r["word"]
-            options = [(o["n"], tuple((e["at"], e["read"], e["printed"]) for e in o["edits"])) for o in r["options"]]
-            if w in bad and w not in clean:
-                orig, edits = bad[w]
-                n = next((n for n, e in options if e == edits), 0)
-                own = min(r["own"], 1 + n // 200)  # the mistake itself is rare
-                data.append((edit_features(w, edits, own, n), LEGAL_OPS, operation(*edits[0][1:])))
-                continue
-            pick = choose(w, r["own"], options)
-            if pick:
-                data.append((edit_features(w, pick[1], r["own"], pick[0]), LEGAL_OPS, "keep"))
-    joins = []
+    for r in [] if words is None else sorted(_evidence(words, groups).collect(), key=lambda r: (r["word"], r["marks"])):
+        w, group = r["word"], [(x["n"], x["key"]) for x in r["group"] or ()]
+        if r["marks"] and not (edits := candidate(w, group)[2]):
+            continue
+        if w in bad and w not in clean:
+            orig, edits = bad[w]
+            n = next((n for n, k in group if k == _key(orig)), 0)
+            own = min(next((n for n, k in group if k == _key(w)), 0), 1 + n // 200)  # the mistake itself is rare
+            data.append((edit_features(w, edits, own, n, edits[0]), legal(edits[0]), operation(*edits[0][1:])))
+            if edits[0][0] in mark_sites(w) and rng.random() < 0.3:  # words that the corpus has nowhere else
+                data.append((edit_features(w, edits, own, 0, edits[0]), legal(edits[0]), operation(*edits[0][1:])))
+            continue
+        own, n, edits = candidate(w, group)
+        options = edits or [e for es in mark_sites(w).values() for e in es]
+        data += [(edit_features(w, edits or (e,), own, n, e), legal(e), "keep") for e in options]
+    joins, own = [], []
+    hyphened = raw.where("clean > 0").where(F.col("word").rlike(r"^[\p{L}\d]+(-[\p{L}\d]+)+$")).withColumn("h", F.xxhash64("word")).orderBy("h").limit(TRAIN_WORDS // 3).select("word", "clean").collect()
+    for w, n in sorted((r["word"], r["clean"]) for r in hyphened):
+        for i, c in enumerate(w):
+            if c == "-":
+                for known in (n, n, 0):  # a misread half hides the count
+                    own.append((join_features(w[:i], "-", w[i + 1 :], 0, known), ("keep", "join"), "keep"))
     for w, n in sample:
-        if "-" in w[1:-1] and w.replace("-", "").isalnum():
-            for i, c in enumerate(w):
-                if c == "-" and 0 < i < len(w) - 1 and w[i + 1].isalnum():
-                    for known in (n, 0):  # a misread half hides the count
-                        joins.append((join_features(w[:i], "-", w[i + 1 :], 0, known), ("keep", "join"), "keep"))
-        elif len(w) >= 4 and w.isalpha():
+        if len(w) >= 4 and w.isalpha():
             i = rng.randint(1, len(w) - 2)
             joins.append((join_features(w[:i], rng.choice("---‐¬­"), w[i:], n if rng.random() < 0.7 else 0, 0), ("keep", "join"), "join"))
     for n in range(300):
         a, b = rng.randint(1, 31), rng.randint(1, 2020)
-        joins.append((join_features(str(a), "-", f"{b}", 0, 0), ("keep", "join"), "keep"))
-    return {"edit": Perceptron.train(data).w, "join": Perceptron.train(joins + [x for x in joins if x[2] == "keep"] * 3).w}
+        own.append((join_features(str(a), "-", f"{b}", 0, 0), ("keep", "join"), "keep"))
+    joins += own * max(1, len(joins) // (4 * len(own)))  # hyphens of the word's own are few
+    return {"edit": Perceptron.train(data).w, "join": Perceptron.train(joins).w}
 
 
 class Findings:
-    """Tables of one run: headers, figures, and the judged words of all other lines."""
+    """Tables of one run: headers, marks of other lines, and the misread words with their edits."""
 
     def __init__(self, spark: SparkSession, pages: DataFrame):
-        pages = pages.select("page_id", "doc_id", "page_number", "text", "is_ocr", "confidence").dropDuplicates(["page_id"])
-        self.lines = cut(_lines_of(pages))
+        pages = pages.select(*_PAGE_COLS).dropDuplicates(["page_id"])
         raw = cut(_page_words(pages))
-        counts = raw.select(_key_udf("word").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-        counts = cut(counts)
-        self.headers = cut(_header_lines(spark, self.lines))
-        weights = spark.sparkContext.broadcast(_train_editor(spark, pages, counts, raw))
-        body = self.lines.join(self.headers, ["page_id", "line_no"], "left_anti").where(~F.col("figure"))
-        prev = body.where("next_no is not null").where(F.rtrim("line").rlike(f"[^\\W_][{HYPHENS}]$")).select("page_id", F.col("next_no").alias("line_no"), F.lit(True).alias("continues")).distinct()
-        body = body.join(prev, ["page_id", "line_no"], "left").withColumn("continues", F.coalesce("continues", F.lit(False)))
-        kept = body.select("page_id", F.col("line_no").alias("next_no"), F.lit(True).alias("follows"))
-        body = body.join(kept, ["page_id", "next_no"], "left").withColumn("next_line", F.when(F.col("follows"), F.col("next_line"))).drop("follows")
-        self.body = body
-        self.words = cut(_words_of(body))
+        counts = raw.groupBy("key").agg(F.sum("n").alias("n"))
+        groups = cut(_groups(counts))
+        scanned = cut(_scanned(pages))
+        self.headers = cut(_header_lines(spark, cut(_edges(scanned))))
+        drop = self.headers.groupBy("page_id").agg(F.collect_list("line_no").alias("drop"))
+        self.scanned = cut(scanned.join(drop, "page_id", "left").select("page_id", "page_number", "text", "drop"))
+        self.marks = cut(_marks(self.scanned))
+        trained = _train_editor(spark, groups, raw)
+        weights = spark.sparkContext.broadcast(trained)
 
         @F.pandas_udf(_EDITS)
-        def edits(word: pd.Series, own: pd.Series, options: pd.Series) -> pd.Series:
+        def edits(word: pd.Series, group: pd.Series, marks: pd.Series) -> pd.Series:
             p = Perceptron(weights.value["edit"])
-            out = []
-            for w, n, os in zip(word, own, options):
-                pick = choose(w, n, [(o["n"], tuple((e["at"], e["read"], e["printed"]) for e in o["edits"])) for o in os])
-                if pick and p.best(edit_features(w, pick[1], n, pick[0]), LEGAL_OPS) != "keep":
-                    out.append([{"at": a, "read": r, "printed": q} for a, r, q in pick[1]])
-                else:
-                    out.append([])
-            return pd.Series(out, dtype=object)
-
-        judged = _evidence(self.words, counts).withColumn("edits", edits("word", "own", "options")).where(F.size("edits") > 0).select("word", "edits")
-        self.edits = self.words.join(judged, "word")
-
-        broken = self.words.where("mark is not null").withColumn("left", F.expr("substring(word, 1, split)")).withColumn("right", F.expr("substring(word, split + 1)"))
+            found = (edit(p, w, [] if g is None else [(x["n"], x["key"]) for x in g], m) for w, g, m in zip(word, group, marks))
+            return pd.Series([[{"at": a, "read": r, "printed": q} for a, r, q in es] for es in found], dtype=object)
+
+        broken = self.marks.where("kind = 'broken'")
+        joined = F.concat("head", "rest").alias("word")
+        words = raw.select("word").union(broken.select(joined)).union(broken.where(F.col("mark").isin("-", "‐", "‑")).select(F.concat_ws("-", "head", "rest")))
+        open_ = (F.size("group") > 1) | F.col("marks") & (F.size("group") > 0) | ~F.col("marks") & F.col("word").rlike(r"[|!@+$ſ\d]")  # others have no repair
+        judged = cut(_evidence(words, groups).where(open_).withColumn("edits", edits("word", "group", "marks")).where(F.size("edits") > 0).groupBy("word").agg(F.max_by("edits", "marks").alias("edits")))
+        self.edits = _words_of(spark, self.scanned, judged).join(judged, "word")
+
         n_of = lambda c: counts.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"))
-        broken = broken.withColumn("joined", _key_udf("word")).withColumn("hyphened", _key_udf(F.concat_ws("-", "left", "right")))
+        broken = broken.withColumn("joined", _key_udf(joined)).withColumn("hyphened", _key_udf(F.concat_ws("-", "head", "rest")))
         broken = broken.join(n_of("joined"), "joined", "left").join(n_of("hyphened"), "hyphened", "left")
 
         @F.pandas_udf("boolean")
@@ -490,7 +646,7 @@ class Findings:
             return pd.Series([p.best(join_features(x, m, y, u, v), ("keep", "join")) == "join" for x, m, y, u, v in zip(left, mark, right, a, b)], dtype=bool)
 
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        self.joins = broken.where(join("left", "mark", "right", zero("n_joined"), zero("n_hyphened"))).select("page_id", "line_no").distinct()
+        self.joins = broken.where(join("head", "mark", "rest", zero("n_joined"), zero("n_hyphened"))).select("page_id", "line_no").distinct()
 
 
 @F.pandas_udf(T.StringType())
@@ -498,32 +654,26 @@ def _key_udf(words: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else _key(w) for w in words], dtype=object)
 
 
-@F.pandas_udf(T.BooleanType())
-def _stray_udf(lines: pd.Series) -> pd.Series:
-    return pd.Series([stray(x) for x in lines], dtype=bool)
-
-
 def noisy_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, line_no, kind), one row per kind of noise in a line."""
     f = Findings(spark, pages)
     header = f.headers.select("page_id", "line_no", F.lit("header").alias("kind"))
-    figure = f.lines.where("figure").select("page_id", "line_no", F.lit("pageno").alias("kind"))
-    marks = f.body.where(_stray_udf("line")).select("page_id", "line_no", F.lit("misread").alias("kind"))
+    marks = f.marks.where("kind <> 'broken'").select("page_id", "line_no", F.when(F.col("kind") == "stray", "misread").otherwise(F.col("kind")).alias("kind"))
     where = F.explode("edits").alias("e")
     wrong = f.edits.select("page_id", "line_no", "next_no", "split", where).select("page_id", F.when(F.col("split").isNotNull() & (F.col("e.at") >= F.col("split")), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("kind"))
     hyphen = f.joins.select("page_id", "line_no", F.lit("hyphen").alias("kind"))
-    return header.unionByName(figure).unionByName(marks).unionByName(wrong).unionByName(hyphen).distinct()
+    return header.unionByName(marks).unionByName(wrong).unionByName(hyphen).distinct()
 
 
 def repair_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, repaired): running paragraphs, without furniture and stray marks, with
     words joined and characters put right. Pages that are not scanned keep their text."""
     f = Findings(spark, pages)
-    noisy = f.headers.select("page_id", "line_no").union(f.lines.where("figure").select("page_id", "line_no")).union(f.body.where(_stray_udf("line")).select("page_id", "line_no")).distinct()
+    noisy = f.headers.select("page_id", "line_no").union(f.marks.where("kind <> 'broken'").select("page_id", "line_no")).distinct()
     drop = noisy.groupBy("page_id").agg(F.collect_list("line_no").alias("drop"))
     join = f.joins.groupBy("page_id").agg(F.collect_list("line_no").alias("join"))
     edits = f.edits.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "next_no", "word", "split", "edits")).alias("fix"))
-    scanned = f.lines.select("page_id").distinct().withColumn("scanned", F.lit(True))
+    scanned = f.scanned.select("page_id").withColumn("scanned", F.lit(True))
     one = pages.select("page_id", "text").dropDuplicates(["page_id"])
     for t in (scanned, drop, join, edits):
         one = one.join(t, "page_id", "left")
