@@ -46,7 +46,7 @@ _DIGITS = re.compile(r"\d+")
 _INVISIBLE = re.compile("[" + "".join(chr(c) for c in (*range(0xA0, 0x2100), 0xFEFF) if invisible(chr(c))) + "]")
 _END = re.compile(r"[.!?…।॥。！？|][\"'”’“»」』)\]]*$")
 _LOW = r"(?<!\S)[\"'“«(¿¡‘„]*[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ][^\s]"
-_TWO_LOWER = re.compile(rf"{_LOW}.*?\s{_LOW}", re.S)
+_LATER_LOWER = re.compile(rf"\S\s+{_LOW}", re.S)
 _ENDING, _CLOSING = frozenset(".!?…।॥。！？|"), "\"'”’“»」』)]"
 _THAI_CJK = re.compile(r"[฀-๿぀-鿿]")
 _LETTERS_TH = re.compile(r"[฀-๿]")
@@ -81,9 +81,19 @@ def words_of(text: str) -> set[str]:
     return {p for t in text.split() if (p := plain(t))}
 
 
+def landmarks(samples: list[tuple[str, str]], most: int = LANDMARKS) -> list[tuple[str, str]]:
+    """At most ``most`` samples, as many of each language as there are, those with the lowest
+    hashes; every language has one while there are no more of these than ``most``."""
+    by: dict[str, list[tuple[int, str]]] = {}
+    for k, t in sorted(set(samples)):
+        by.setdefault(k, []).append((xxhash.xxh3_64_intdigest(t), t))
+    turn = [(n, h, k, t) for k, ts in by.items() for n, (h, t) in enumerate(sorted(ts))]
+    return sorted((k, t) for _, _, k, t in sorted(turn)[:most])
+
+
 def train(samples: list[tuple[str, str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, n-gram slots, one row of scores per slot)."""
-    samples = sorted(samples)[:LANDMARKS]
+    samples = landmarks(samples)
     langs = sorted({k for k, _ in samples})
     grams = [[g for w in words_of(text) for g in word_grams(w)] for _, text in samples]
     slots = np.unique(np.array([g for gs in grams for g in gs], np.int64))
@@ -189,10 +199,9 @@ def whole(unit: str) -> bool:
     if not ended and not (far and _LETTERS_TH.search(unit)):
         return False
     if far and _THAI_CJK.search(unit):
-        return len(unit) >= 6
-    if len(unit) < 12 or unit.count(" ") < 2:
-        return False
-    return _TWO_LOWER.search(unit) is not None or unit.upper() == unit
+        return len(unit) > 1
+    # Two words, of which one is no name: in running text a word of small letters after the first.
+    return _LATER_LOWER.search(unit) is not None or " " in unit and unit.upper() == unit
 
 
 class Detector:
@@ -243,7 +252,7 @@ def languages(found: list[tuple[int, int, str, float]]) -> dict[str, tuple[int,
 
 def fit(samples: DataFrame) -> tuple:
     """(sentence tagger, scorer tables) from the labelled samples, a table of fixed size."""
-    rows = [(r["lang"], r["text"]) for r in samples.where("lang is not null and text is not null").select("lang", "text").orderBy("lang", "text").limit(20_000).collect()]
+    rows = sentences.labelled(samples)
     tagger = sentences.train(sentences.training_documents(rows))
     return sentences.pack(tagger), train(rows)
 

@@ -2,10 +2,12 @@
 
 Every character is tagged as inside or as the last of a unit. Only characters before a
 terminator's gap, a line end or a space between letters of a script without terminators can
-be last; Viterbi decoding chooses among these under the chain's transition weights. The
+be last; in a line of Chinese, Japanese or Thai that has none of these, every character can.
+Viterbi decoding chooses among these under the chain's transition weights. The
 weights come from an averaged structured perceptron, trained on documents put together from
 single sentences (the labelled samples and the seeds below), with abbreviations, quotations,
-headings, table rows and, for scripts without terminators, with their punctuation stripped.
+headings and table rows, and on the sentences of these three languages run together with
+their punctuation and blanks stripped.
 
 Defined results: null and blank texts have no units; a text without any terminator is one
 unit; repeated rows give the same units; other columns pass through.
@@ -140,9 +142,32 @@ class _Depth:
         return self.depth
 
 
+#: Letters in a row, of a script without spaces between words, from which a line without any
+#: mark may hold several sentences.
+RUN = 12
+_RUN = re.compile(rf"[぀-ヿ㐀-鿿豈-﫿]{{{RUN},}}|[฀-๿]{{{RUN},}}")
+_MARKED = re.compile(rf"[{TERMINATORS}|  ]")
+
+
+def unmarked(text: str) -> list[tuple[int, tuple]]:
+    """(end of unit, key) of every character within lines of such a script without marks."""
+    out, seen, marked = [], -1, False
+    for m in _RUN.finditer(text):
+        a = text.rfind("\n", 0, m.start()) + 1
+        if a != seen:
+            b = text.find("\n", m.end())
+            line = text[a : b if b >= 0 else len(text)].strip()
+            seen, marked = a, _MARKED.search(line) is not None or _HEAD.match(line) is not None
+        if not marked:
+            t = m.group()
+            out += [(m.start() + k, ("u", t[k - 3 : k] if k > 2 else t[:k], t[k : k + 3])) for k in range(2, len(t) - 1)]
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, tuple]]:
     """(end of unit, key) of every character that can be last; features() expands keys."""
-    out = []
+    out = [] if text.isascii() else unmarked(text)
+    several = bool(out)
     depth = _Depth(text)
     size, line_start = len(text), 0
     for m in _CAND.finditer(text):
@@ -194,7 +219,7 @@ def candidates(text: str) -> list[tuple[int, tuple]]:
             if "thai" not in (pc, nc) and not _THAI.search(text, max(0, a - 12), stop + 12):
                 continue
             out.append((a, ("t", pc, nc, text[max(0, a - 3) : a], text[stop : stop + 3])))
-    return out
+    return sorted(out) if several else out
 
 
 def features(key: tuple) -> tuple:
@@ -204,6 +229,9 @@ def features(key: tuple) -> tuple:
     if key[0] == "n":
         _, gap, head, nc, pc, q = key
         return (("n", gap, head, nc), ("p", gap, pc, nc), ("h", gap, head, pc), ("l", gap, head), ("m", gap, q))
+    if key[0] == "u":
+        _, left, right = key
+        return (("u",), ("u1", left[-1:]), ("u2", left[-2:]), ("u3", left), ("v1", right[:1]), ("v2", right[:2]), ("v3", right), ("uv", left[-1:], right[:1]))
     _, pc, nc, left, right = key
     return (("t", pc, nc), ("tl", left), ("tr", right, pc), ("tb", pc, right[:2]), ("te", left[-2:], nc))
 
@@ -299,11 +327,32 @@ def sample_documents(samples: list[tuple[str, str]], n: int = 700, seed: int = 5
     return out
 
 
+def stripped_documents(sentences: list[str], n: int = 400, seed: int = 17) -> list[tuple[str, set[int]]]:
+    """Sentences of one script without spaces, run together without a mark between them."""
+    rng, out = random.Random(seed), []
+    bare = [t for s in sentences if len(t := "".join(c for c in s if c.isalpha() or c in _THAI_MARKS)) >= 4]
+    for _ in range(n if bare else 0):
+        text, ends = "", set()
+        for _ in range(rng.randint(1, 5)):
+            text += rng.choice(bare)
+            ends.add(len(text))
+        out.append((text, ends))
+    return out
+
+
+_THAI_MARKS = frozenset(map(chr, (0x0E31, *range(0x0E34, 0x0E3B), *range(0x0E47, 0x0E4F))))
+
+
 def training_documents(samples: list[tuple[str, str]]) -> list[tuple[str, set[int]]]:
-    """The seeds as written, and the seeds' and samples' sentences in random order. Scripts
-    written without terminators take part stripped of theirs (Thai samples have none)."""
+    """The seeds as written, the seeds' and samples' sentences in random order, and those of
+    scripts without spaces stripped of all marks."""
     loose = [("seed", u.strip()) for line in SEEDS for u in line.replace("⏎", "¶").split("¶") if u.strip()[-1:] and u.strip()[-1] in TERMINATORS + CLOSERS and not _THAI.search(u)]
-    return seed_documents() * 6 + sample_documents(list(samples)) + sample_documents(loose, 700, 9) + sample_documents([("all", t) for _, t in (*samples, *loose) if t and not _THAI.search(t)], 500, 13)
+    far: dict[str, list[str]] = {}
+    for lang, t in samples:
+        if t and _RUN.search("".join(c for c in t if c.isalpha() or c in _THAI_MARKS)):
+            far.setdefault(lang, []).append(t)
+    bare = [d for k in sorted(far) for d in stripped_documents(far[k])]
+    return seed_documents() * 6 + sample_documents(list(samples)) + sample_documents(loose, 700, 9) + sample_documents([("all", t) for _, t in (*samples, *loose) if t and not _THAI.search(t)], 500, 13) + bare
 
 
 def train(documents: list[tuple[str, set[int]]], epochs: int = 14) -> Tagger:
@@ -340,8 +389,16 @@ def train(documents: list[tuple[str, set[int]]], epochs: int = 14) -> Tagger:
 
 def fit(samples: DataFrame | None) -> Tagger:
     """From the seeds and the labelled samples, a table of fixed size."""
-    rows = [] if samples is None else [(r["lang"], r["text"]) for r in samples.select("lang", "text").orderBy("lang", "text").limit(20_000).collect()]
-    return train(training_documents(rows))
+    return train(training_documents([] if samples is None else labelled(samples)))
+
+
+#: Labelled samples that are learnt from; of a larger table those with the lowest hashes.
+SAMPLES = 20_000
+
+
+def labelled(samples: DataFrame) -> list[tuple[str, str]]:
+    rows = samples.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("lang", "text").alias("h")).orderBy("h").limit(SAMPLES)
+    return sorted((r["lang"], r["text"]) for r in rows.collect())
 
 
 @functools.lru_cache(maxsize=2)

@@ -55,3 +55,23 @@ def test_noisy_lines_and_repair(spark, frame):
 def test_no_pages(spark, frame):
     df = frame([], "page_id long, doc_id long, page_number int, text string, is_ocr boolean, confidence double")
     assert S.noisy_lines(spark, df).count() == 0 and S.repair_pages(spark, df).count() == 0
+
+
+def test_any_number_of_confusions_in_a_word():
+    assert S.path("r|v|d|cu|c", "ridicule") is None
+    assert S.path("d!v!s!b!l!ty", "divisibility") == tuple((i, "!", "i") for i in (1, 3, 5, 7, 9))
+    assert len(S.path("d!v!s!b!1!+y", "divisibility")) == 7
+    p = S.Perceptron({("common" + "False", "replace"): 1.0})
+    assert len(S.edit(p, "d!v!s!b!1!+y", [(500, "divisibility"), (1, "d!v!s!b!1!+y")])) == 7
+
+
+def test_forms_are_shared_by_all_confusions():
+    for printed, read in S.PAIRS:
+        assert S.form(printed.casefold()) == S.form(read.replace("ſ", "f").casefold()), (printed, read)
+    assert S.word_form("oſfice") == S.form("office") and S.path("15", "is") is None and S.path("I", "1") is None
+
+
+def test_filter_holds_no_word_back(spark):
+    words = [f"word{i}" for i in range(5000)]
+    bits = S._filter_of(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert bits[S._bit(words)].all() and bits.sum() <= 5000

@@ -66,3 +66,39 @@ def test_relabel(spark, frame, rows):
 
 def test_labels():
     assert [L.label_of(x) for x in (None, "", "und", "EN", "en-IN", "hin", "tam", "English", "zz")] == [None, None, None, "en", "en", "hi", "ta", "en", "?"]
+
+
+def test_stripped_scripts_held_out(rows):
+    """F1 of boundaries within held-out sentences run together without a mark."""
+    t = S.train(S.training_documents(rows[::2]))
+    for lang, least in (("zh", 0.55), ("ja", 0.9), ("th", 0.9)):
+        right = wrong = missed = 0
+        for text, ends in S.stripped_documents([x for k, x in rows[1::2] if k == lang], 200, 5):
+            got, want = set(t.ends(text)) - {len(text)}, ends - {len(text)}
+            right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+        assert 2 * right / (2 * right + wrong + missed) >= least, lang
+
+
+def test_unmarked_lines_only():
+    run = "请求已经被拒绝他走了天气很好我们回家"
+    assert S.unmarked(run) and not S.unmarked(run + "。") and not S.unmarked("a" * 40) and not S.unmarked("天" * (S.RUN - 1))
+    assert not S.unmarked("第一 " + run) and S.unmarked("短。\n" + run)
+
+
+def test_landmarks_of_every_language():
+    samples = [(k, f"{k} sample {i}") for k in ("de", "en", "fr", "ta", "th", "zh") for i in range(150)]
+    got = L.landmarks(samples, 600)
+    assert len(got) == 600 and {k: sum(x == k for x, _ in got) for k in ("de", "zh")} == {"de": 100, "zh": 100}
+    assert set(L.train(samples)[0]) == {"de", "en", "fr", "ta", "th", "zh"}
+    assert L.landmarks(samples[:10], 600) == sorted(samples[:10])
+
+
+def test_bounded_samples_go_by_hash(spark, frame, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLES", 30)
+    got = S.labelled(frame([(k, f"{k} {i}") for k in ("aa", "zz") for i in range(50)] + [(None, "x"), ("aa", None)], "lang string, text string"))
+    assert len(got) == 30 and {k for k, _ in got} == {"aa", "zz"}
+
+
+def test_short_sentences_count():
+    assert L.whole("He left.") and L.whole("他走了。") and L.whole("Er ging.") and L.whole("வந்தார் அவர்.")
+    assert not L.whole("Leeds.") and not L.whole("Mr. Hill.") and not L.whole("12.") and not L.whole("Old Mill Road")
