@@ -31,7 +31,8 @@ from ..session import cut
 #: Letters of other scripts that print as the Latin letter before them.
 SAME_GLYPH = """
 A АΑ  B ВΒ  C СϹ  E ЕΕ  H НΗ  I ІΙӀ  J ЈͿ  K КΚ  M МΜ  N Ν  O ОΟ  P РΡ  S Ѕ  T ТΤ  X ХΧ  Y ҮΥ  Z Ζ
-a а  c сϲ  d ԁ  e е  h һ  i і  j јϳ  l ӏ  o оο  p р  q ԛ  s ѕ  v ѵν  w ԝ  x х  y уү
+a а  c сϲ  d ԁ  e е  h һհ  i і  j јϳ  l ӏ  o оοօ  p р  q ԛ  s ѕ  u ս  v ѵν  w ԝ  x х  y уү
+A Ꭺ  B Ᏼ  C Ꮯ  E Ꭼ  H Ꮋ  J Ꭻ  K Ꮶ  L Ꮮ  M Ꮇ  P Ꮲ  S Ꮪ  T Ꭲ  V Ꮩ  W Ꮃ  Z Ꮓ
 """.split()
 #: Strings that print as one another.
 SAME_STRING = [("-", "‐", "‑"), ("/", "⁄", "∕"), (";", ";"), ("·", "·"), ("...", "…"), ("ஔ", "ஒள"), ("ௌ", "ெள"), ("आ", "अा"), ("ओ", "अो"), ("औ", "अौ"), ("ऐ", "एे"), ("ำ", "ํา"), ("แ", "เเ")]
@@ -133,17 +134,26 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
+#: Code points that canonical decomposition may change.
+_COMPOSED = (*range(0xC0, 0x3400), *range(0xF900, 0xFB50))
+
+
 class Rewriter:
     def __init__(self, mapping: dict[str, str]):
         self.auto = ahocorasick.Automaton()
         for m, best in mapping.items():
             self.auto.add_word(m, (len(m), best))
         self.auto.make_automaton()
-        self.ascii = re.compile("|".join(re.escape(m) for m in sorted(mapping) if m.isascii() and m) or "(?!)")
+        # Characters that are members, or are composed of one; texts without any keep theirs.
+        single = {m for m in mapping if len(m) == 1}
+        composed = [c for c in map(chr, _COMPOSED) if not single.isdisjoint(unicodedata.normalize("NFD", c))]
+        self.some = re.compile("[" + "".join(map(re.escape, sorted({*single, *composed}))) + "]" + "".join("|" + re.escape(m) for m in sorted(mapping) if len(m) > 1) if mapping else "(?!)")
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or text.isascii() and not self.ascii.search(text):
+        if not text:
             return text
+        if not self.some.search(text):
+            return text if text.isascii() else unicodedata.normalize("NFC", text)
         text = unicodedata.normalize("NFD", text)
         out, at = [], 0
         for end, (size, best) in self.auto.iter_long(text):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scan, table
@@ -43,6 +43,21 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.select("chunk_uid", "piece_no", "n_pieces", "piece_start", "piece_end", "piece_text", "piece_label", "piece_tokens", "hard_cut").dropDuplicates(["chunk_uid", "piece_no"])
 
 
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What every chunk's pieces must hold: within the limits, from the start to the last word
+    without a gap, some of the text in both of any two neighbours, and the text as it is."""
+    chunks = scan(spark, d, "chunks").select("chunk_uid", "text").dropDuplicates(["chunk_uid"])
+    p = split.split_oversized(chunks)
+    w = Window.partitionBy("chunk_uid").orderBy("piece_no")
+    p = p.withColumn("before", F.lag("piece_end").over(w))
+    long = (F.length("piece_text") > split.MAX_CHARS) | (split.word_count(F.col("piece_text")) > split.MAX_WORDS)
+    own = F.expr("substring(text, piece_start + 1, piece_end - piece_start)") == F.col("piece_text")
+    return p.groupBy("chunk_uid").agg(
+        (F.count("*") > 1).alias("is_cut"), F.bool_and(~long).alias("within_limits"), F.bool_and(F.coalesce(F.col("piece_start") < F.col("before"), F.col("piece_start") == 0)).alias("overlapping"),
+        F.bool_or(F.length(F.expr("substring(text, piece_end + 1)")) == 0).alias("to_the_end"), F.bool_and(own).alias("as_written"), F.bool_and(F.col("piece_tokens") == split.word_count(F.col("piece_text"))).alias("counted"),
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     tagger = sentences.fit(table(spark, d, "lang_samples"))
     out = sentences.unit_ends(spark, scan(spark, d, "chunks").select("chunk_uid", "text"), tagger)
@@ -97,11 +112,19 @@ def oracle_sql() -> dict[str, str]:
     is ASCII."""
     space = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
     words = f"regexp_extract_all(lower(text), '[^{space}]+')"
-    return {
-        "p2_found": f"""WITH w AS (SELECT chunk_uid, w FROM (SELECT DISTINCT chunk_uid, {words} AS w FROM chunks WHERE text IS NOT NULL) WHERE len(w) >= 20),
+    runs = f"""w AS (SELECT chunk_uid, w FROM (SELECT DISTINCT chunk_uid, {words} AS w FROM chunks WHERE text IS NOT NULL) WHERE len(w) >= 20),
  s AS (SELECT DISTINCT chunk_uid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT chunk_uid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
  n AS (SELECT chunk_uid, count(*) AS n FROM s GROUP BY chunk_uid),
- b AS (SELECT x.chunk_uid AS a, y.chunk_uid AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.chunk_uid < y.chunk_uid GROUP BY ALL)
- SELECT b.a AS chunk_a, b.b AS chunk_b FROM b JOIN n p ON p.chunk_uid = b.a JOIN n q ON q.chunk_uid = b.b WHERE k >= 0.5 * (p.n + q.n - k)""",
+ b AS (SELECT x.chunk_uid AS a, y.chunk_uid AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.chunk_uid < y.chunk_uid GROUP BY ALL),
+ f AS (SELECT b.a AS chunk_a, b.b AS chunk_b FROM b JOIN n p ON p.chunk_uid = b.a JOIN n q ON q.chunk_uid = b.b WHERE k >= 0.5 * (p.n + q.n - k))"""
+    return {
+        "p2_found": f"WITH {runs} SELECT chunk_a, chunk_b FROM f",
+        "p2_groups": f"""WITH RECURSIVE {runs}, e AS (SELECT chunk_a AS a, chunk_b AS b FROM f UNION SELECT chunk_b, chunk_a FROM f),
+ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+ t AS (SELECT DISTINCT chunk_uid, text FROM chunks),
+ l AS (SELECT e.a, count(DISTINCT y.text) AS n FROM e JOIN t x ON x.chunk_uid = e.a JOIN t y ON y.chunk_uid = e.b WHERE x.text <> y.text GROUP BY e.a)
+ SELECT c.chunk_uid, coalesce(least(g.m, c.chunk_uid), c.chunk_uid) AS group_id, coalesce(l.n, 0) AS n_links FROM (SELECT DISTINCT chunk_uid FROM chunks) c
+ LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) g ON g.a = c.chunk_uid LEFT JOIN l ON l.a = c.chunk_uid""",
+        "p4_checks": f"SELECT chunk_uid, length(text) > 3200 OR len({words}) > 400 AS is_cut, true AS within_limits, true AS overlapping, true AS to_the_end, true AS as_written, true AS counted FROM (SELECT DISTINCT chunk_uid, text FROM chunks) WHERE len({words}) > 0",
         "p4_found": f"SELECT DISTINCT chunk_uid FROM chunks WHERE length(text) > 3200 OR len({words}) > 400",
     }
