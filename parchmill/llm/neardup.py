@@ -9,7 +9,9 @@ are compared by the Hamming distance of a 120-bit sketch, and pairs that pass ar
 exactly on their word runs.
 
 Copies: texts are grouped by content first and one of each group takes part, so a text that
-makes up a third of all rows costs one row. Nothing is capped or sampled.
+makes up a third of all rows costs one row; anchors at which very many different texts meet
+are split into blocks. Nothing is capped or sampled. ``groups`` gives one row a text, with its
+group and its number of links, and never all pairs; ``near_pairs`` expands them.
 
 Defined results: null and blank texts and texts under ``min_words`` words have no pairs;
 repeated keys count once; other columns are not read.
@@ -30,6 +32,8 @@ RUN, MIN_WORDS, THRESHOLD = 5, 20, 0.8
 BLOCKS, LENGTH, SKETCH_BITS, SKETCH_RADIUS = 10, 4, 3, 42
 #: Rows of two longs up to which the keys of candidates are sent to all executors.
 BROADCAST_KEYS = 500_000
+#: Fingerprints at an anchor from which it is split, and the share that is counted to tell.
+HEAVY, PROBE = 4096, 64
 _CACHE = 400_000
 
 
@@ -106,6 +110,28 @@ def _content(text):
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
 
 
+def _meet(at: DataFrame, probe: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a1, a2, b1, b2) that meet at an anchor and whose sketches are near, each once per
+    anchor. Anchors of more than about HEAVY fingerprints are split: their fingerprints fall
+    into blocks by hash, and every two blocks meet in a task of their own. Which anchors are
+    heavy is told by ``probe``, one fingerprint in PROBE; a wrong guess changes the tasks, not the pairs."""
+    named = lambda t, side: t.select("anchor", *[c for c in ("x", "y") if c in t.columns], *(F.col(c).alias(f"{side}_{c}") for c in ("h1", "h2", "s1", "s2")))
+    near = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2"))) <= radius
+    first = (F.col("a_h1") < F.col("b_h1")) | ((F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") < F.col("b_h2")))
+    out = [F.col("a_h1").alias("a1"), F.col("a_h2").alias("a2"), F.col("b_h1").alias("b1"), F.col("b_h2").alias("b2")]
+    heavy = cut(probe.groupBy("anchor").count().where(F.col("count") * PROBE > HEAVY).select("anchor", F.ceil(F.col("count") * PROBE / HEAVY).cast("int").alias("blocks")))
+    light = at.join(heavy, "anchor", "left_anti")
+    found = named(light, "a").join(named(light, "b"), "anchor").where(first & near).select(*out)
+    many = at.join(heavy, "anchor").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
+    # Blocks x <= y meet; a pair of different blocks meets there once, whichever comes first.
+    left = many.withColumn("x", F.col("block")).withColumn("y", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = many.withColumn("y", F.col("block")).withColumn("x", F.explode(F.sequence(F.lit(0), "block")))
+    apart = (F.col("x") != F.col("y")) | first
+    pairs = named(left, "a").join(named(right, "b"), ["anchor", "x", "y"]).where(apart & near)
+    pairs = pairs.select(*(F.when(first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(n) for c, n in (("h1", "a1"), ("h2", "a2"))), *(F.when(first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(n) for c, n in (("h1", "b1"), ("h2", "b2"))))
+    return found.union(pairs)
+
+
 def near_classes(df: DataFrame, key: str, text: str = "text", run: int = RUN, min_words: int = MIN_WORDS, threshold: float = THRESHOLD, blocks: int = BLOCKS, length: int = LENGTH, radius: int = SKETCH_RADIUS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(key, h1, h2) name each row's content class; links are
     pairs of different classes (a1, a2, b1, b2, similarity) at or above the threshold."""
@@ -120,13 +146,13 @@ def near_classes(df: DataFrame, key: str, text: str = "text", run: int = RUN, mi
                 anchors, s1, s2 = fingerprints(h, starts, blocks, length)
                 yield pd.DataFrame({"h1": pdf["h1"].to_numpy()[keep], "h2": pdf["h2"].to_numpy()[keep], "s1": s1, "s2": s2, "anchors": list(anchors)})
 
-    one = base.select(*_content(t), t.alias(text)).mapInPandas(prints, "h1 long, h2 long, s1 long, s2 long, anchors array<long>")
-    one = one.groupBy("h1", "h2").agg(F.first(F.struct("s1", "s2", "anchors")).alias("p"))
-    at = one.select("h1", "h2", "p.s1", "p.s2", F.explode("p.anchors").alias("anchor"))
-    a, b = (at.select("anchor", *(F.col(c).alias(f"{side}_{c}") for c in ("h1", "h2", "s1", "s2"))) for side in "ab")
-    near = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2"))) <= radius
-    first = (F.col("a_h1") < F.col("b_h1")) | ((F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") < F.col("b_h2")))
-    met = cut(a.join(b, "anchor").where(first & near).select(F.col("a_h1").alias("a1"), F.col("a_h2").alias("a2"), F.col("b_h1").alias("b1"), F.col("b_h2").alias("b2")).distinct())
+    def anchored(texts: DataFrame) -> DataFrame:
+        one = texts.mapInPandas(prints, "h1 long, h2 long, s1 long, s2 long, anchors array<long>")
+        one = one.groupBy("h1", "h2").agg(F.first(F.struct("s1", "s2", "anchors")).alias("p"))
+        return one.select("h1", "h2", "p.s1", "p.s2", F.explode("p.anchors").alias("anchor"))
+
+    texts = base.select(*_content(t), t.alias(text))
+    met = cut(_meet(anchored(texts), anchored(texts.where(F.pmod("h1", F.lit(PROBE)) == 0)), radius).distinct())
 
     keys = met.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(met.select("b1", "b2")).distinct()
     n = met.count()  # bounds the keys by 2 n
@@ -139,7 +165,7 @@ def near_classes(df: DataFrame, key: str, text: str = "text", run: int = RUN, mi
 
     links = met.join(texts.toDF("a1", "a2", "ta"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "tb"), ["b1", "b2"])
     links = links.select("a1", "a2", "b1", "b2", exact("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
-    members = base.where(word_count(t) >= min_words).select(F.col(key), *_content(t)).distinct()
+    members = cut(base.where(word_count(t) >= min_words).select(F.col(key), *_content(t)).distinct())
     return members, links
 
 
@@ -178,7 +204,7 @@ def groups(df: DataFrame, key: str, **settings) -> DataFrame:
     the group that links of any length make; n_links counts the other texts it is linked to.
     Copies share a group; texts that are too short are groups of their own."""
     members, links = near_classes(df, key, **settings)
-    members, links = cut(members), cut(links.select("a1", "a2", "b1", "b2"))
+    links = cut(links.select("a1", "a2", "b1", "b2"))
     roots = members.groupBy("h1", "h2").agg(F.min(key).alias("r"))
     a, b = roots.toDF("a1", "a2", "a"), roots.toDF("b1", "b2", "b")
     edges = links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b")

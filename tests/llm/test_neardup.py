@@ -96,3 +96,20 @@ def test_members_have_their_words_counted_as_links(spark, frame):
     df = frame([(1, joined), (2, joined + " more"), (3, short), (4, short)], "chunk_uid long, text string")
     members, links = N.near_classes(df, "chunk_uid", run=3, min_words=20, threshold=0.5)
     assert {tuple(r) for r in N.near_pairs(members, links, "chunk_uid").collect()} == {(1, 2)}
+
+
+def test_heavy_anchors_are_split(spark, frame, monkeypatch):
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(60)] = f"z{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    df = frame(rows, "k long, text string")
+    pairs = lambda: sorted(tuple(r) for r in N.near_pairs(*N.near_classes(df, "k", run=3, threshold=0.5), "k").collect())
+    whole = pairs()
+    monkeypatch.setattr(N, "HEAVY", 20)
+    monkeypatch.setattr(N, "PROBE", 2)
+    assert pairs() == whole and len(whole) > 1000
