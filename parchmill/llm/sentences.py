@@ -327,7 +327,7 @@ def sample_documents(samples: list[tuple[str, str]], n: int = 700, seed: int = 5
     return out
 
 
-def stripped_documents(sentences: list[str], n: int = 400, seed: int = 17) -> list[tuple[str, set[int]]]:
+def stripped_documents(sentences: list[str], n: int = 120, seed: int = 17) -> list[tuple[str, set[int]]]:
     """Sentences of one script without spaces, run together without a mark between them."""
     rng, out = random.Random(seed), []
     bare = [t for s in sentences if len(t := "".join(c for c in s if c.isalpha() or c in _THAI_MARKS)) >= 4]
