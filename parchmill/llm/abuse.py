@@ -84,7 +84,7 @@ PATTERNS = {
     "group_all": r"\b(?:they|these|those|them|women|men|migrants|people|all) (?:\w+ ){0,3}?(?:are|re|be|is) (?:\w+ ){0,3}?DEHUMAN\b|\ball DEHUMAN\b|\bthese (?:\w+ )?DEHUMAN\b",
     "sexual_ask": r"\b(?:send|show|see|grab|touch|lick|suck|kiss|squeeze|want)\b.{0,25}?\b(?:your|ur|me|my|naked)\b.{0,25}?SEXUAL\b|\bSEXUAL\b.{0,30}?\b(?:tonight|dm me|in bed)\b",
     "foreign_hostile": r"\b(?:du|ihr) (?:bist |seid )?(?:\w+ ){0,3}?INSULT|\bhalts? (?:die|dein) (?:fresse|maul|klappe)|\bverpiss|\bferme[zs]? (?:ta|vos?|la) gueule|\btu (?:n )?(?:es )?(?:\w+ ){0,4}?INSULT|\bva te faire|\beres (?:un|una) (?:\w+ )?INSULT|\bvete a la|\bзаткнись|\bты (?:\w+ )*?INSULT|\bfick dich|\bhijo de",
-    "foreign_script": r"(?:तुम|तू|तुला|उन्हें)\b.{0,25}?INSULT|INSULT.{0,20}?(?:செத்து|போ)|செத்துப் போ|\b(?:tum|tu|abe|oye|saale|saala) .{0,25}?INSULT|(?:你|お前|มึง|ไอ้).{0,8}?INSULT|INSULT(?:吧|だ|สัตว์)?",
+    "foreign_script": r"(?:तुम|तू|तुला|उन्हें)\b.{0,25}?INSULT|INSULT.{0,20}?(?:செத்து|போ)|செத்துப் போ|\b(?:tum|tu|abe|oye|saale|saala) .{0,25}?INSULT|(?:你|お前|มึง|ไอ้).{0,8}?INSULT",
 }
 #: Talk that uses the same words without harm, as patterns.
 BENIGN = {
@@ -136,7 +136,7 @@ def _patterns() -> tuple[list[tuple[re.Pattern, int]], list[tuple[re.Pattern, in
 
 
 VOTERS = (*PATTERNS, *BENIGN, "insult_near_you", "insults_many", "dehuman_word", "sexual_many", "violence_near_you", "tricked_word", "plain")
-HITS = len(PATTERNS)
+HITS, _SCRIPT = len(PATTERNS), list(PATTERNS).index("foreign_script")
 
 
 @functools.lru_cache(maxsize=1)
@@ -304,6 +304,8 @@ def votes(words: list[str], kinds: list[int]) -> np.ndarray:
     for bit in (INSULT, DEHUMANISE, SEX):
         line[bit] = " ".join("\x01" if k & bit else w for w, k in zip(words, kinds))
     v = [1.0 if p.search(line[k]) else 0.0 for p, k in hit]
+    if any(k & INSULT and _FAR.search(w) for w, k in zip(words, kinds)):
+        v[_SCRIPT] = 1.0  # a lexicon's word within a run of letters
     v += [-1.0 if p.search(line[k]) else 0.0 for p, k in benign]
     where = {b: [i for i, k in enumerate(kinds) if k & b] for b in (INSULT, DEHUMANISE, SEX, VIOLENT, ADDRESS)}
     near = lambda a, b, n: any(0 < abs(i - j) <= n for i in where[a] for j in where[b])
