@@ -22,10 +22,14 @@ def nfc(text: Column) -> Column:
     return _nfc(text)
 
 
+#: Control, format and unassigned characters but line feed, carriage return, tab.
+UNSEEN = r"[\p{C}&&[^\n\r\t]]"
+
+
 def scrub(text: Column) -> Column:
     """Composed, without control, format and unassigned characters but line feed, carriage
     return and tab (so without joiners, soft hyphens and byte-order marks), ends stripped."""
-    return strip(F.regexp_replace(nfc(text), r"[\p{C}&&[^\n\r\t]]", ""))
+    return strip(F.regexp_replace(nfc(text), UNSEEN, ""))
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -12,8 +12,11 @@ section; documents whose pages are missing get chunks without pages; rows may re
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,6 +172,79 @@ def chunk(df: DataFrame, key: str = "doc_id", text: str = "text", cfg: Config =
     return rows.withColumn("metadata", F.create_map(F.lit("go_numbers"), order_mentions(F.col("text"))))
 
 
+_AT_HEADING = re.compile("(?m)^(?=" + "|".join(HEADINGS) + ")")
+_EACH_HEADING = [re.compile(p) for p in HEADINGS]
+
+
+def heading_of(piece: str) -> str | None:
+    return next((m.group().strip() for p in _EACH_HEADING if (m := p.match(piece))), None)
+
+
+def pages_of(spans: list[dict], numbers: list[int | None], edges: list[int]) -> list[int | None]:
+    """The pages that spans overlap, in order of spans, each once. Page i goes from edges[i]
+    to edges[i + 1]."""
+    out: dict[int | None, None] = {}
+    for s in spans:
+        lo, hi = max(0, bisect_right(edges, s["lo"]) - 1), bisect_left(edges, s["hi"])
+        out |= dict.fromkeys(sorted((n for n, a, b in zip(numbers[lo:hi], edges[lo:hi], edges[lo + 1 : hi + 1]) if s["lo"] < b and s["hi"] > a), key=lambda n: (n is not None, n)))
+    return list(out)
+
+
+#: Chunks that leave Python at a time.
+OUT_ROWS = 500
+
+
+def chunk_parts(parts: DataFrame, join: Callable[[list], str], key: str = "doc_id", cfg: Config = PROFILES["module"]) -> DataFrame:
+    """What with_pages(chunk(..)) gives, without ``spans``, from documents in parts: rows of
+    (key, number, order, size, part), where ``join`` makes a document's text of its parts by
+    number and order, and ``size`` is the length of the page that the part was. Parts stream
+    into Python, sorted; it holds one document at a time, and the JVM none."""
+    kind = parts.schema[key].dataType.simpleString()
+
+    def of_document(numbers: list, sizes: list[int], texts: list) -> list[dict]:
+        text = join(texts)
+        if not text:
+            return []
+        bodies = _AT_HEADING.split(text)
+        rows = assemble(bodies, [heading_of(b) if i else None for i, b in enumerate(bodies)], cfg)
+        edges = [0]
+        for n in sizes:
+            edges.append(edges[-1] + n + 2)
+        for r in rows:
+            r["page_numbers"] = pages_of(r.pop("spans"), numbers, edges)
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[dict] = []
+        schema = None
+
+        def full(doc, numbers, sizes, texts):
+            ready.extend({key: doc} | r for r in of_document(numbers, sizes, texts))
+            while len(ready) >= OUT_ROWS:
+                part, ready[:OUT_ROWS] = ready[:OUT_ROWS], []
+                yield pa.RecordBatch.from_pylist(part, schema)
+
+        held, doc = None, None
+        for b in batches:
+            if schema is None:
+                schema = pa.schema([(key, b.schema.field(0).type), ("chunk_id", pa.int32()), ("text", pa.string()), ("section_label", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("token_count", pa.int32()), ("page_numbers", pa.list_(pa.int32()))])
+            for k, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if held is None or k != doc:
+                    if held:
+                        yield from full(doc, *held)
+                    held, doc = ([], [], []), k
+                for values, x in zip(held, row):
+                    values.append(x)
+        if held:
+            yield from full(doc, *held)
+        if ready:
+            yield pa.RecordBatch.from_pylist(ready, schema)
+
+    rows = parts.select(key, "number", "order", "size", "part").repartition(key).sortWithinPartitions(key, "number", "order").select(key, "number", "size", "part")
+    out = rows.mapInArrow(run, f"{key} {kind}, chunk_id int, text string, section_label string, char_start int, char_end int, token_count int, page_numbers array<int>")
+    return out.withColumn("metadata", F.create_map(F.lit("go_numbers"), order_mentions(F.col("text"))))
+
+
 def page_map(pages: DataFrame, key: str = "doc_id", number: str = "page_number", text: str = "text") -> DataFrame:
     """(key, page, lo, hi): each page's range in the joined text, two characters for the gap
     after every page. Pages without text count as empty."""

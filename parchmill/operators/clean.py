@@ -7,13 +7,14 @@ which replaces them.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dialect import SPACE_SET, java, map_lines, rstrip, strip
-from ..functions.text import nfc, order_numbers, scrub
+from ..functions.dialect import NOT_SPACE, SPACE, SPACE_SET, java, map_lines, rstrip
+from ..functions.text import UNSEEN, nfc, order_numbers, scrub
 
 #: Lines that hold one of these are never blanked.
 PROTECTED = [
@@ -47,7 +48,11 @@ def drop_controls(text: Column) -> Column:
 
 
 def _blank_lines(text: Column, pattern: str) -> Column:
-    return map_lines(text, lambda x: F.when(strip(x).rlike(pattern) & ~is_protected(x), "").otherwise(x))
+    """Lines that match when stripped become empty. White space around is part of the pattern,
+    as stripping every line would take most of the time."""
+    flags, core = re.fullmatch(r"(\(\?\w+\))?\^(.*)\$", pattern, re.S).groups()
+    around = rf"{flags or ''}^{SPACE}*(?={NOT_SPACE})(?:{core})(?<={NOT_SPACE}){SPACE}*\z"
+    return map_lines(text, lambda x: F.when(x.rlike(around) & ~is_protected(x), "").otherwise(x))
 
 
 def drop_page_numbers(text: Column) -> Column:
@@ -83,6 +88,21 @@ def clean_text(text: Column) -> Column:
     return reduce(lambda t, step: step(t), STEPS, text)
 
 
+def clean_part(text: Column) -> Column:
+    """The same steps for one part of a text whose parts are joined by blank lines, so that a
+    long text needs no cleaning as a whole: all steps but the last strip work within lines,
+    and line feeds between two parts always come down to two. Null for a part of nothing but
+    line feeds. The cleaned text is the other parts joined and stripped (join_parts)."""
+    t = reduce(lambda t, step: step(t), STEPS[: STEPS.index(collapse)], text)
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    t = F.nullif(F.regexp_replace(t, r"\A\n+|\n+\z", ""), F.lit(""))
+    return F.regexp_replace(nfc(map_lines(t, rstrip)), UNSEEN, "")
+
+
+def join_parts(parts: list[str | None]) -> str:
+    return "\n\n".join(p for p in parts if p is not None).strip()
+
+
 def clean(df: DataFrame, text: str = "text", out: str = "cleaned_text") -> DataFrame:
     """Add the cleaned text, its lengths, the reduction in percent and the order numbers."""
     df = df.withColumn(out, clean_text(F.col(text)))

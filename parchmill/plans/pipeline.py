@@ -20,14 +20,22 @@ EXIT_WORDS = ("exit", "quit", "q", "bye")
 
 def build_index(pages: DataFrame, cfg: Config = PROFILES["module"]) -> DataFrame:
     """(chunk_uid, doc_id, chunk_id, text, section_label, page_numbers, metadata, embedding)
-    of all pages: joined by document, translated, cleaned, cut into chunks, embedded."""
-    docs, _ = files.split_empty(files.documents(pages))
-    docs = language.with_language(docs, "raw_text", cfg=cfg)
-    docs = language.to_english(docs, "raw_text", "lang", "text", cfg)
-    docs = docs.select("doc_id", clean.clean_text(F.col("text")).alias("text"))
-    chunks = chunk.with_pages(chunk.chunk(docs, cfg=cfg), pages)
+    of all pages: joined by document, translated, cleaned, cut into chunks, embedded. Without
+    a translator pages are cleaned by themselves and stream into the chunks of their
+    document, so that none is a row."""
+    text, size = F.col("text"), F.coalesce(F.length("text"), F.lit(0))
+    shown = text.isNotNull() & ~is_blank(text)
+    parts = pages.select("doc_id", F.col("page_number").alias("number"), F.when(shown, text).alias("order"), size.alias("size"))
+    if cfg.translator == "identity":
+        parts = parts.withColumn("part", clean.clean_part(F.col("order")))
+    else:  # translators take a document's text as a whole
+        docs, _ = files.split_empty(files.documents(pages))
+        docs = language.to_english(language.with_language(docs, "raw_text", cfg=cfg), "raw_text", "lang", "text", cfg)
+        docs = docs.select("doc_id", F.lit(None).cast("int").alias("number"), F.lit(None).cast("string").alias("order"), F.lit(-2).alias("size"), clean.clean_part(text).alias("part"))
+        parts = docs.unionByName(parts.withColumns({"order": F.lit(None).cast("string"), "part": F.lit(None).cast("string")}))
+    chunks = chunk.chunk_parts(parts, clean.join_parts, cfg=cfg)
     chunks = chunks.withColumn("chunk_uid", F.xxhash64("doc_id", "chunk_id"))
-    return embed.embed(chunks.drop("spans"), cfg=cfg)
+    return embed.embed(chunks, cfg=cfg)
 
 
 def asked(questions: DataFrame, text: str = "question") -> DataFrame:

@@ -97,3 +97,24 @@ def test_short_citation(spark):
     rows = [("L", [2], 5, "L | Page 2"), ("L", [2, 3, 4], 5, "L | Pages 2-4"), (None, [], 5, "Chunk 5"), ("", [1], 5, "Page 1"), ("L", [], 5, "L")]
     df = spark.createDataFrame([r[:3] for r in rows], "l string, p array<int>, c int")
     assert [r[0] for r in df.select(chunk.short_citation(F.col("l"), F.col("p"), F.col("c"))).collect()] == [r[3] for r in rows]
+
+
+def test_streamed_parts_equal_whole_documents(spark):
+    from parchmill.operators import clean
+    from parchmill.plans import pipeline
+    from parchmill.sources import files
+
+    some = ["\n\n", "x \n \n", " ", "\n", "Section 4 Old\tcanal\n" + "water. " * 90, "7", "a\n-----\nb", "e", "́f", "CHAPTER", "12 Lamps and roads", "Page 3", "\x00\n", "(2) Fees due now\n\n\nyes", "​"]
+    pages = [(d, n, some[(d * 7 + n * n + d * n) % len(some)] if (d + n) % 11 else None, False) for d in range(40) for n in range(d % 13)]
+    pages += [(None, 1, "Section 1 B\nunowned", False), (99, 2, "b", False), (99, 2, "a", False), (99, None, "c", False)]
+    df = spark.createDataFrame(pages, "doc_id long, page_number int, text string, is_ocr boolean").repartition(3)
+    docs, _ = files.split_empty(files.documents(df))
+    whole = chunk.with_pages(chunk.chunk(docs.select("doc_id", clean.clean_text(F.col("raw_text")).alias("text"))), df)
+    made = pipeline.build_index(df)
+    names = ["doc_id", "chunk_id", "text", "section_label", "char_start", "char_end", "token_count", "metadata"]
+    one, other = ({(r["doc_id"], r["chunk_id"]): r for r in x.collect()} for x in (whole, made))
+    assert len(one) > 30 and one.keys() == other.keys()
+    assert all([one[k][c] for c in names] == [other[k][c] for c in names] for k in one)
+    assert all(one[k]["page_numbers"] == other[k]["page_numbers"] for k in one if k[0] not in (None, 99))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan  # no row holds a document, no part is made twice
