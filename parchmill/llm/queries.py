@@ -35,7 +35,7 @@ def p3_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return scan(spark, d, "chunks").where(split.oversized(F.col("text"))).select("chunk_uid").distinct()
+    return split.oversized(scan(spark, d, "chunks").select("chunk_uid", "text")).select("chunk_uid").distinct()
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:

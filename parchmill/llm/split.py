@@ -46,7 +46,7 @@ def pieces_of(text: str | None, label: str | None = None, max_words: int = MAX_W
     spans = [m.span() for m in _WORD.finditer(text)]
     starts, n = [a for a, _ in spans], len(text)
     if len(spans) <= max_words and n <= max_chars:
-        return [{"piece_no": 0, "piece_start": 0, "piece_end": n, "piece_text": text, "piece_label": label, "piece_tokens": len(spans), "hard_cut": False}]
+        return [{"piece_no": 0, "piece_start": 0, "piece_end": n, "piece_text": text, "piece_label": label, "piece_tokens": len(spans), "hard_cut": False, "oversized": False}]
     kinds = [[m.end() for m in k.finditer(text)] for k in _KINDS]
     heads = [(m.start(), m.group()) for m in _HEADING.finditer(text)]
     head_at = [p for p, _ in heads]
@@ -73,7 +73,7 @@ def pieces_of(text: str | None, label: str | None = None, max_words: int = MAX_W
                     end -= 1
         body = text[at:end]
         i = bisect_right(head_at, at) - 1
-        out.append({"piece_no": len(out), "piece_start": at, "piece_end": end, "piece_text": body, "piece_label": heads[i][1] if i >= 0 else label, "piece_tokens": len(body.split()), "hard_cut": hard})
+        out.append({"piece_no": len(out), "piece_start": at, "piece_end": end, "piece_text": body, "piece_label": heads[i][1] if i >= 0 else label, "piece_tokens": len(body.split()), "hard_cut": hard, "oversized": True})
         if end >= last:
             break
         if not overlap:
@@ -98,31 +98,42 @@ def _back(text: str, after: int, end: int, chars: int) -> int:
     return next((p for p in chain(range(start, after, -1), range(start + 1, end)) if not unicodedata.combining(text[p])), end)
 
 
-_PIECES = "array<struct<piece_no:int,piece_start:int,piece_end:int,piece_text:string,piece_label:string,piece_tokens:int,hard_cut:boolean>>"
+_PIECES = "array<struct<piece_no:int,piece_start:int,piece_end:int,piece_text:string,piece_label:string,piece_tokens:int,hard_cut:boolean,oversized:boolean>>"
 
 
 def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)))
 
 
-def oversized(text: Column, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS) -> Column:
-    """Whether a text is over a limit, whatever the pieces that it gives."""
-    return (F.length(text) > max_chars) | (word_count(text) > max_words)
-
-
-def split_oversized(df: DataFrame, text: str = "text", label: str = "section_label", max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """One row per piece with piece_no, n_pieces, piece_start, piece_end, piece_text,
-    piece_label (the last heading before the piece, else ``label``), piece_tokens, hard_cut."""
+def _with_pieces(df: DataFrame, text: str, label: Column, max_words: int, max_chars: int, overlap: int) -> DataFrame:
+    """The rows whose text may be over a limit, with its pieces in ``_p``."""
 
     @F.pandas_udf(_PIECES)
     def cut(texts: pd.Series, labels: pd.Series) -> pd.Series:
         return pd.Series([pieces_of(t, b, max_words, max_chars, overlap) for t, b in zip(texts, labels)], dtype=object)
 
+    return df.where(_large(F.col(text), max_words, max_chars)).withColumn("_p", cut(F.col(text), label))
+
+
+def _large(text: Column, max_words: int, max_chars: int) -> Column:
+    """A text with more than max_words words has at least 2 * max_words + 1 characters."""
+    return F.length(text) > min(2 * max_words, max_chars)
+
+
+def oversized(df: DataFrame, text: str = "text", max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """The rows whose text was over a limit when it was cut, whatever the number of its pieces;
+    a blank text has none and counts by its length."""
+    cut = _with_pieces(df, text, F.lit(None).cast("string"), max_words, max_chars, overlap)
+    return cut.where(F.coalesce(F.get("_p", F.lit(0))["oversized"], F.length(text) > max_chars)).drop("_p")
+
+
+def split_oversized(df: DataFrame, text: str = "text", label: str = "section_label", max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """One row per piece with piece_no, n_pieces, piece_start, piece_end, piece_text,
+    piece_label (the last heading before the piece, else ``label``), piece_tokens, hard_cut,
+    oversized (the text was over a limit)."""
     t, own = F.col(text), F.col(label) if label in df.columns else F.lit(None).cast("string")
-    # A text with more than max_words words has at least 2 * max_words + 1 characters.
-    large = F.length(t) > min(2 * max_words, max_chars)
-    names = ["piece_no", "piece_start", "piece_end", "piece_text", "piece_label", "piece_tokens", "hard_cut"]
+    names = ["piece_no", "piece_start", "piece_end", "piece_text", "piece_label", "piece_tokens", "hard_cut", "oversized"]
     base = [c for c in df.columns if c not in (*names, "n_pieces")]
-    many = df.where(large).withColumn("_p", cut(t, own)).select(*base, F.size("_p").alias("n_pieces"), F.explode("_p").alias("_q")).select(*base, "n_pieces", "_q.*")
-    few = df.where(~large & t.rlike(f"[^{SPACE}]")).select(*base, F.lit(1).alias("n_pieces"), F.lit(0).alias("piece_no"), F.lit(0).alias("piece_start"), F.length(t).alias("piece_end"), t.alias("piece_text"), own.alias("piece_label"), word_count(t).alias("piece_tokens"), F.lit(False).alias("hard_cut"))
+    many = _with_pieces(df, text, own, max_words, max_chars, overlap).select(*base, F.size("_p").alias("n_pieces"), F.explode("_p").alias("_q")).select(*base, "n_pieces", "_q.*")
+    few = df.where(~_large(t, max_words, max_chars) & t.rlike(f"[^{SPACE}]")).select(*base, F.lit(1).alias("n_pieces"), F.lit(0).alias("piece_no"), F.lit(0).alias("piece_start"), F.length(t).alias("piece_end"), t.alias("piece_text"), own.alias("piece_label"), word_count(t).alias("piece_tokens"), F.lit(False).alias("hard_cut"), F.lit(False).alias("oversized"))
     return many.unionByName(few)

@@ -1,6 +1,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from parchmill.llm import queries
 from parchmill.llm import split as P
 
@@ -78,3 +80,14 @@ def test_found_by_the_limits(spark, frame, tmp_path):
     texts = ["x " * 390 + " " * 3000, "x" * 3190 + "\n" * 20, " " * 3300, "x" * 3200, "a\xa0" * 401, "a " * 400, "", None]
     frame(list(enumerate(texts)), "chunk_uid long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
     assert {r["chunk_uid"] for r in queries.p4_found(spark, str(tmp_path)).collect()} == {0, 1, 2, 4}
+
+
+def test_found_by_cutting(spark):
+    """The found texts come from the pieces, not from a filter beside them."""
+    texts = ["w " * 401, "w " * 400, "x" * 3200, "x" * 3201, "w" * 3190 + " " * 20, " " * 3201, " ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_uid long, text string")
+    found = P.oversized(df)
+    assert sorted(r[0] for r in found.select("chunk_uid").collect()) == [0, 3, 4, 5]
+    assert "cut(" in found._jdf.queryExecution().optimizedPlan().toString()
+    marked = P.split_oversized(df.withColumn("section_label", F.lit(None).cast("string"))).where("oversized")
+    assert sorted({r["chunk_uid"] for r in marked.collect()}) == [0, 3, 4]
