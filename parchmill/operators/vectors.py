@@ -3,7 +3,7 @@
 Searches take a table of queries against all vectors. The vectors are never broadcast; they
 are scored in Arrow batches against blocks of queries by matrix products, each partition
 keeps its best k per query before the shuffle, and a window ranks what is left. Queries are
-broadcast in blocks of ``QUERY_BLOCK`` rows, a fixed bound, one scan of the vectors each.
+broadcast in blocks of ``QUERY_BLOCK`` rows, ``BLOCKS`` of them, a fixed bound, to a scan.
 
 Defined results: null or empty vectors and those of another dimension than the query have no
 score and are not returned; ties are ranked by the vector's key; a zero vector stays zero.
@@ -11,14 +11,20 @@ score and are not returned; ties are ranked by the vector's key; a zero vector s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import PROFILES, Config
+from ..session import cut
 
-QUERY_BLOCK = 4096
+#: Queries in a block, blocks in a scan, and vectors that are scored against a block at a time.
+QUERY_BLOCK, BLOCKS, TILE = 4096, 16, 1024
+#: More than sums in another order, and rounding to twelve places, can make of a score.
+SLACK = 1e-11
 #: Of a CellIndex: the recall that its probes are measured for, on so many queries and neighbours.
 RECALL, TUNE, TUNE_K = 0.97, 256, 10
 
@@ -48,75 +54,129 @@ def _rank(cost: np.ndarray, keys: np.ndarray, row: np.ndarray, k: int) -> np.nda
     return order[np.arange(len(order)) - np.searchsorted(sorted_row, sorted_row) < k]
 
 
+class _Best:
+    """The k best vectors of each query of a block so far. ``least`` is what a query's next
+    one must reach; sums in another order differ by less than SLACK."""
+
+    def __init__(self, ids: list, q: np.ndarray, k: int, metric: str):
+        self.ids, self.q, self.k, self.metric = ids, q, k, metric
+        self.least = np.full(len(q), -np.inf)
+        self.kept, self.found, self.waiting = None, [], 0
+
+    def add(self, asked: np.ndarray, keys: np.ndarray, m: np.ndarray) -> None:
+        q = self.q[asked].astype(np.float64)
+        good = q @ m.T
+        if self.metric == "l2":
+            good = -((q * q).sum(1)[:, None] - 2 * good + (m * m).sum(1)[None])
+        least = self.least[asked]
+        new = ~np.isfinite(least)
+        if new.any():
+            n = min(self.k, len(m))
+            least[new] = np.partition(good[new], len(m) - n, axis=1)[:, len(m) - n]
+        r, col = np.nonzero(good >= (least - SLACK)[:, None])
+        if len(r):
+            self.found.append((asked[r], keys[col], good[r, col]))
+            self.waiting += len(r)
+        if self.waiting > 2 * self.k * len(self.q) or len(r) and new.any():
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.found:
+            return
+        row, keys, good = (np.concatenate(x) for x in zip(*([self.kept] if self.kept else []), *self.found))
+        keep = _rank(-np.round(good, 12), keys, row, self.k)
+        row, keys, good = self.kept = row[keep], keys[keep], good[keep]
+        self.found, self.waiting = [], 0
+        last = np.flatnonzero(np.diff(row, append=-1))
+        full = last[np.diff(last, prepend=-1) == self.k]
+        self.least[row[full]] = good[full]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        self.merge()
+        if not self.kept:
+            return None
+        row, keys, good = self.kept
+        return np.asarray(self.ids)[row], keys, good if self.metric == "ip" else -good
+
+
 def _best_of(vectors: DataFrame, shared, k: int, metric: str, key: str, vec: str, schema: str, cell: str | None = None) -> DataFrame:
-    """The k best vectors of every query within each partition: batches are scored by matrix
-    products, and what they leave is merged into the best so far, so that a partition gives
-    k rows a query whatever its size. With ``cell``, only the queries that probe a vector's
-    cell are scored against it."""
-    sign = 1.0 if metric == "ip" else -1.0
+    """The k best vectors of every query within each partition: tiles of vectors are scored
+    against blocks of queries by matrix products, and what they leave is merged into the best
+    so far, so that a partition gives k rows a query whatever its size. With ``cell``, only
+    the queries that probe a vector's cell are scored against it."""
     qkey = schema.split()[0]
 
     def score(batches):
-        ids, q, probes = shared.value
-        q2 = (q * q).sum(1)
-        row, keys, scores, cost = np.zeros(0, np.int64), None, np.zeros(0), np.zeros(0)
+        blocks = [(_Best(ids, q, k, metric), probes) for ids, q, probes in shared.value]
         for pdf in batches:
-            ok = np.array([v is not None and len(v) == q.shape[1] for v in pdf[vec]], bool)
-            if not ok.any():
-                continue
-            new_keys, m = pdf[key].to_numpy()[ok], np.stack(pdf[vec][ok].to_list()).astype(np.float64)
-            parts = [(np.arange(len(q)), np.arange(len(m)))]
-            if cell:
-                at = pdf[cell].to_numpy()[ok]
-                order = np.argsort(at, kind="stable")
-                edge = np.flatnonzero(np.diff(at[order], prepend=-1))
-                parts = [(probes.get(int(at[x[0]]), ()), x) for x in np.split(order, edge[1:])]
-            for asked, mine in parts:
-                if not len(asked):
+            size = np.array([-1 if v is None else len(v) for v in pdf[vec]])
+            for width in {b.q.shape[1] for b, _ in blocks}:
+                ok = np.flatnonzero(size == width)
+                if not len(ok):
                     continue
-                x = m[mine]
-                s = q[asked] @ x.T
-                if metric == "l2":
-                    s = q2[asked][:, None] - 2 * s + (x * x).sum(1)[None]
-                c = -sign * np.round(s, 12)
-                n = min(k, len(x))
-                r, col = np.nonzero(c <= np.partition(c, n - 1, axis=1)[:, n - 1 : n])  # the k best and ties with the last
-                row, cost, scores = np.concatenate((row, np.asarray(asked)[r])), np.concatenate((cost, c[r, col])), np.concatenate((scores, s[r, col]))
-                keys = new_keys[mine[col]] if keys is None else np.concatenate((keys, new_keys[mine[col]]))
-            if keys is not None:
-                keep = _rank(cost, keys, row, k)
-                row, keys, scores, cost = row[keep], keys[keep], scores[keep], cost[keep]
-        if keys is not None:
-            yield pd.DataFrame({qkey: np.asarray(ids)[row], key: keys, "score": scores})
+                keys, m = pdf[key].to_numpy()[ok], np.stack(pdf[vec].iloc[ok].to_list()).astype(np.float64)
+                tiles = [(None, np.arange(a, min(a + TILE, len(m)))) for a in range(0, len(m), TILE)]
+                if cell:
+                    at = pdf[cell].to_numpy()[ok]
+                    order = np.argsort(at, kind="stable")
+                    edge = np.flatnonzero(np.diff(at[order], prepend=-1))
+                    tiles = [(int(at[x[a]]), x[a : a + TILE]) for x in np.split(order, edge[1:]) for a in range(0, len(x), TILE)]
+                for b, probes in blocks:
+                    if b.q.shape[1] != width:
+                        continue
+                    everyone = np.arange(len(b.q))
+                    for c, mine in tiles:
+                        asked = everyone if c is None else np.asarray(probes.get(c, ()), np.int64)
+                        if len(asked):
+                            b.add(asked, keys[mine], m[mine])
+        for b, _ in blocks:
+            if (got := b.rows()) is not None:
+                yield pd.DataFrame(dict(zip((qkey, key, "score"), got)))
 
     columns = [key, vec, *([cell] if cell else [])]
     return vectors.where(F.col(vec).isNotNull()).select(*columns).mapInPandas(score, schema)
 
 
 def _in_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, qkey: str, key: str, qvec: str, vec: str, cell: str | None = None, probed=None) -> DataFrame:
-    """Queries go out in blocks of QUERY_BLOCK rows of one dimension, one scan each; a window
-    ranks what the partitions leave. ``probed`` gives the cells of a block's queries."""
+    """Queries go out in blocks of QUERY_BLOCK rows of one dimension, BLOCKS of them to a scan;
+    a window ranks what the partitions leave. Where there are more, each scan's result is
+    written before the next one is planned, so that the driver holds the queries and the plan
+    of one. ``probed`` gives the cells of a block's queries."""
     spark = queries.sparkSession
     qtype, ktype = dict(queries.dtypes)[qkey], dict(vectors.dtypes)[key]
     schema = f"{qkey} {qtype}, {key} {ktype}, score double"
+    kind = np.float32 if dict(queries.dtypes)[qvec] == "array<float>" else np.float64
+    best = F.round("score", 12)
+    w = Window.partitionBy(qkey).orderBy(best.desc() if metric == "ip" else best.asc(), key)
+    # A partition leaves k rows a query, so there are no more partitions than cores.
+    vectors = vectors.coalesce(spark.sparkContext.defaultParallelism)
 
-    def block(rows: list) -> DataFrame:
-        q = np.array([r[1] for r in rows], dtype=np.float64)
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], q, probed(q) if probed else None))
-        return _best_of(vectors, shared, k, metric, key, vec, schema, cell)
+    def scan(blocks: list) -> tuple:
+        shared = spark.sparkContext.broadcast([(ids, q, probed(q.astype(np.float64)) if probed else None) for ids, q in blocks])
+        found = _best_of(vectors, shared, k, metric, key, vec, schema, cell)
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(qkey, "rank", key, "score"), shared
 
-    found, rows = None, []
+    parts, blocks, held = [], [], {}
     clean = queries.where(F.col(qvec).isNotNull() & (F.size(qvec) > 0)).select(qkey, qvec)
-    for r in (*clean.toLocalIterator(), None):
-        if rows and (r is None or len(rows) >= QUERY_BLOCK or len(r[1]) != len(rows[0][1])):
-            part = block(rows)
-            found, rows = part if found is None else found.unionByName(part), []
-        rows.append(r)
-    if found is None:
+    # The driver takes a partition at a time, so these have a block's rows.
+    clean = clean.repartition(max(1, -(-clean.count() // QUERY_BLOCK)))
+    for r in clean.toLocalIterator():
+        ids, rows = held.setdefault(len(r[1]), ([], []))
+        ids.append(r[0]), rows.append(np.asarray(r[1], kind))
+        if len(rows) == QUERY_BLOCK:
+            if len(blocks) == BLOCKS:
+                part, shared = scan(blocks)
+                parts.append(cut(part))
+                shared.destroy()
+                blocks = []
+            blocks.append((ids, np.stack(rows)))
+            del held[len(r[1])]
+    blocks += [(ids, np.stack(rows)) for ids, rows in held.values()]
+    if blocks:
+        parts.append(scan(blocks)[0])
+    if not parts:
         return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {key} {ktype}, score double")
-    best = F.round("score", 12)
-    w = Window.partitionBy(qkey).orderBy(best.desc() if metric == "ip" else best.asc(), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(qkey, "rank", key, "score")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", qkey: str = "qid", key: str = "vec_id", qvec: str = "qvec", vec: str = "embedding") -> DataFrame:

@@ -98,3 +98,22 @@ def test_embed(spark):
 def test_normalize(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(vectors.normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_scans_of_a_few_blocks_each(spark, monkeypatch):
+    """The plan and the broadcasts do not grow with the number of queries."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "BLOCKS", 2, raising=False)
+    monkeypatch.setattr(vectors, "TILE", 7, raising=False)
+    rng = np.random.RandomState(3)
+    m = rng.randint(-2, 3, (60, 4)).astype(float)  # many ties
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<float>")
+    q = v.where("vec_id < 25").selectExpr("vec_id as qid", "embedding as qvec")
+    for metric in ("ip", "l2"):
+        out = vectors.search(q, v, 5, metric)
+        got = {}
+        for r in out.orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["vec_id"])
+        cost = -(m[:25] @ m.T) if metric == "ip" else ((m[:25, None] - m[None]) ** 2).sum(2)
+        assert got == {i: np.lexsort((np.arange(60), c))[:5].tolist() for i, c in enumerate(cost)}
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") <= 1
