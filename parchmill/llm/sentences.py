@@ -97,6 +97,7 @@ _HEAD = re.compile(r"\s*(?:[A-Z][A-Z]{3,}|Section|Chapter|Part|Article|Clause|Ru
 _BEFORE, _EITHER = frozenset(BEFORE), frozenset(EITHER)
 
 
+@functools.lru_cache(maxsize=65_536)
 def _class(c: str) -> str:
     if not c:
         return "end"
@@ -115,13 +116,15 @@ def _class(c: str) -> str:
 
 
 _QUOTE = re.compile("[“”„«»「」]|\n\n")
+_QUOTES = re.compile("[“”„«»「」]")
 
 
 class _Depth:
     """Open quotations at a place of a text; a blank line closes all."""
 
     def __init__(self, text: str):
-        self.marks = [(m.start(), m.group()) for m in _QUOTE.finditer(text)]
+        # Without a quotation mark nothing is ever open.
+        self.marks = [] if text.isascii() or not _QUOTES.search(text) else [(m.start(), m.group()) for m in _QUOTE.finditer(text)]
         self.next = self.depth = self.low = 0
 
     def at(self, place: int) -> int:
@@ -258,32 +261,29 @@ class Tagger:
 
     def decode(self, emissions: list[float]) -> list[int]:
         """Viterbi over inside (0) and last (1); the emission of inside is zero."""
+        if not emissions:
+            return []
         (ii, ib), (bi, bb) = self.chain.tolist()
-        inside, last, back = 0.0, -1e9, []
-        for k, e in enumerate(emissions):
-            if not k:
-                inside, last = 0.0, e
-                back.append((0, 0))
-                continue
-            p, q = (0, inside + ii), (0, inside + ib)
-            if last + bi > p[1]:
-                p = (1, last + bi)
-            if last + bb > q[1]:
-                q = (1, last + bb)
-            inside, last = p[1], q[1] + e
-            back.append((p[0], q[0]))
+        inside, last, to_inside, to_last = 0.0, emissions[0], [0], [0]
+        for e in emissions[1:]:
+            p, q, r, t = inside + ii, inside + ib, last + bi, last + bb
+            to_inside.append(1 if r > p else 0)
+            to_last.append(1 if t > q else 0)
+            inside, last = (r if r > p else p), (t if t > q else q) + e
         tags = [0] * len(emissions)
-        tag = int(last > inside)
+        tag = 1 if last > inside else 0
         for k in range(len(emissions) - 1, -1, -1):
             tags[k] = tag
-            tag = back[k][tag]
+            tag = to_last[k] if tag else to_inside[k]
         return tags
 
     def ends(self, text: str | None) -> list[int]:
         if not text or not text.strip():
             return []
         cand = candidates(text)
-        out = [e for (e, _), t in zip(cand, self.decode([self.emission(f) for _, f in cand])) if t]
+        known, emission = self.cache.get, self.emission
+        score = [emission(f) if (s := known(f)) is None else s for _, f in cand]
+        out = [e for (e, _), t in zip(cand, self.decode(score)) if t]
         final = len(text.rstrip())
         first = len(text) - len(text.lstrip())
         out = [e for e in out if first < e < final]

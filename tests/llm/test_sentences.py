@@ -102,3 +102,12 @@ def test_bounded_samples_go_by_hash(spark, frame, monkeypatch):
 def test_short_sentences_count():
     assert L.whole("He left.") and L.whole("他走了。") and L.whole("Er ging.") and L.whole("வந்தார் அவர்.")
     assert not L.whole("Leeds.") and not L.whole("Mr. Hill.") and not L.whole("12.") and not L.whole("Old Mill Road")
+
+
+def test_one_pass_per_character_class():
+    """Texts without a quotation mark keep no marks, and classes are looked up once."""
+    from parchmill.llm import sentences
+
+    assert sentences._Depth("a.\n\nb. c").marks == [] and sentences._Depth("é.\n\nb").marks == []
+    assert sentences._Depth("“a.\n\nb”").marks
+    assert sentences._class.cache_info().maxsize and sentences.Tagger().decode([]) == []
