@@ -22,7 +22,7 @@ from ..plans.config import PROFILES, Config
 from ..session import cut
 
 #: Queries in a block, blocks in a scan, and vectors that are scored against a block at a time.
-QUERY_BLOCK, BLOCKS, TILE = 4096, 16, 1024
+QUERY_BLOCK, BLOCKS, TILE = 4096, 6, 1024
 #: More than sums in another order, and rounding to twelve places, can make of a score.
 SLACK = 1e-11
 #: Of a CellIndex: the recall that its probes are measured for, on so many queries and neighbours.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dialect import is_blank
 from ..operators import chunk, clean, embed, generate, language, vectors, verify
 from ..sources import files, sinks
-from ..session import cut
+from ..session import cut, small_batches
 from .config import PROFILES, Config
 
 #: Words that end a dialogue.
@@ -63,7 +63,8 @@ def answer_questions(questions: DataFrame, index: DataFrame, cfg: Config = PROFI
         t = q.select("qid", "question_en").join(generate.contexts(r), "qid", "left").join(lines, "qid", "left").join(verify.citations(r), "qid", "left")
         t = verify.verify(generate.generate(t, cfg=cfg), context="context_text", top_score="top_score", cfg=cfg)
         fields = ["passed", F.col("verified_answer").alias("answer"), "confidence", "failure_reason", F.struct("section_lines", "section_label", "page_numbers", "go_numbers").alias("results")]
-        tries[name] = t.select("qid", F.struct(*fields).alias(name))
+        with small_batches(questions.sparkSession):  # a reader's row holds the texts of all chunks found
+            tries[name] = cut(t.select("qid", F.struct(*fields).alias(name)))
     both = q.drop("qvec").join(tries["first"], "qid").join(tries["retry"], "qid")
     none = F.col("first.results.section_lines").isNull()
     out = verify.select_answer(both).withColumn("failure_reason", F.when(F.col("first.passed"), F.lit(None)).otherwise(F.col("retry.failure_reason")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,19 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Within it, at most ``rows`` rows go to Python at a time; for rows of many texts each.
+    It holds for what is computed inside, not for what is planned there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder all executors share.
 
