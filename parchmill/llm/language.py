@@ -150,7 +150,8 @@ class Scorer:
             tokens = u.split()
             rows = set(map(get, tokens))
             if None in rows:
-                rows = {word(t) for t in tokens}
+                rows.discard(None)
+                rows.update([word(t) for t in tokens if t not in self.known])
             ids += rows
         if not units:
             return np.zeros((0, len(self.langs)))
@@ -279,7 +280,7 @@ def detect(spark: SparkSession, df: DataFrame, fitted: tuple, text: str = "text"
         got = d.batch(list(texts), list(flags))
         return pd.Series([[{"lang": k, "sentences": n, "confidence": c} for k, (n, c) in sorted(languages(x).items())] for x in got], dtype=object)
 
-    return df.withColumn(out, run(F.col(text), F.col(scanned) if scanned else F.lit(False)))
+    return df.withColumn(out, sentences.once(run)(F.col(text), F.col(scanned) if scanned else F.lit(False)))
 
 
 def segments(spark: SparkSession, df: DataFrame, fitted: tuple, text: str = "text", scanned: str | None = None, out: str = "segments") -> DataFrame:
@@ -302,7 +303,7 @@ def segments(spark: SparkSession, df: DataFrame, fitted: tuple, text: str = "tex
             rows.append(segs)
         return pd.Series(rows, dtype=object)
 
-    return df.withColumn(out, run(F.col(text), F.col(scanned) if scanned else F.lit(False)))
+    return df.withColumn(out, sentences.once(run)(F.col(text), F.col(scanned) if scanned else F.lit(False)))
 
 
 def relabel(spark: SparkSession, df: DataFrame, fitted: tuple, text: str = "text", lang: str = "lang", scanned: str | None = None) -> DataFrame:

@@ -92,6 +92,10 @@ Kya tum aaoge? ¶ Munshi ne likh kar diya. ¶ Agar paisa ho to 5 din mein aana.
 
 TERMINATORS, CLOSERS = ".!?…।॥。！？｡", "\"'”’»」』)]）】"
 _CAND = re.compile(rf"(?P<t>[{TERMINATORS}]+)(?P<c>(?:[   ]?»|[{re.escape(CLOSERS)}“])*)(?P<g>\s*)|(?P<n>[^\S\n]*\n\s*)|(?<=[฀-๿\d.])(?P<s>[  ]+)(?=[฀-๿]|\d|[A-Za-z])")
+#: The same for texts without Thai letters; it starts with one class of characters, so that a
+#: search passes over all others at once. Blanks before a line end are not in the match.
+_PLAIN = re.compile(rf"[{TERMINATORS}\n](?:(?<=\n)\s*|[{TERMINATORS}]*(?P<c>(?:[\u0020\u00a0\u202f]?»|[{re.escape(CLOSERS)}“])*)(?P<g>\s*))")
+_ASCII = re.compile(r"[.!?\n](?:(?<=\n)\s*|[.!?]*(?P<c>[\"')\]]*)(?P<g>\s*))")
 _PREV = re.compile(r"[^\s(“„«「\[\"‘]*$")
 _HEAD = re.compile(r"\s*(?:[A-Z][A-Z]{3,}|Section|Chapter|Part|Article|Clause|Rule|Schedule|Annexure|Appendix|Form|GO|Notification|Circular)\b|\s*G\.O\.|\s*(?:\d{1,3}[.)]|\((?:\d{1,3}|[ivxlc]{1,5}|[a-z])\))\s")
 _BEFORE, _EITHER = frozenset(BEFORE), frozenset(EITHER)
@@ -149,6 +153,8 @@ class _Depth:
 #: mark may hold several sentences.
 RUN = 12
 _RUN = re.compile(rf"[぀-ヿ㐀-鿿豈-﫿]{{{RUN},}}|[฀-๿]{{{RUN},}}")
+#: One class that holds all of the above, for a quick no.
+_FAR = re.compile(r"[\u0e00-\u0e7f\u3040-\ufaff]")
 _MARKED = re.compile(rf"[{TERMINATORS}|  ]")
 
 
@@ -167,20 +173,44 @@ def unmarked(text: str) -> list[tuple[int, tuple]]:
     return out
 
 
+@functools.lru_cache(maxsize=65_536)
+def shape(token: str) -> tuple[str, int]:
+    """Kind of the word before a full stop, and its length in small letters."""
+    last = _PREV.search(token).group()
+    w = last.lower()
+    n = len(w)
+    if w in _BEFORE:
+        return "before", n
+    if w in _EITHER:
+        return "either", n
+    if n == 1 and w.isalpha():
+        return "initial" if last.isupper() else "one", n
+    if w[:1].isdigit() and w.translate(_NUMBER).isdigit():
+        return "num", n
+    return "dotted" if "." in w else "word", n
+
+
 def candidates(text: str) -> list[tuple[int, tuple]]:
     """(end of unit, key) of every character that can be last; features() expands keys."""
-    out = [] if text.isascii() else unmarked(text)
+    plain = text.isascii()
+    out = unmarked(text) if not plain and _FAR.search(text) else []
     several = bool(out)
     depth = _Depth(text)
     size, line_start = len(text), 0
-    for m in _CAND.finditer(text):
+    thai = not plain and _THAI.search(text) is not None
+    for m in (_ASCII if plain else _CAND if thai else _PLAIN).finditer(text):
         a, stop = m.span()
         kind_of = m.lastgroup
+        if kind_of is None:
+            kind_of = "n"
+            while a and text[a - 1].isspace():
+                a -= 1
         if stop >= size and kind_of in ("n", "s"):
             continue
         nxt = text[stop : stop + 1]
         if kind_of == "g":
-            t, c, g = m.group("t", "c", "g")
+            c, g = m.group("c", "g")
+            t = text[a : m.start("c")]
             low = depth.marks and depth.at(a) and depth.low
             if "“" in c and not low:  # an opening mark
                 c, g, nxt = c[: c.index("“")], "", "“"
@@ -195,26 +225,23 @@ def candidates(text: str) -> list[tuple[int, tuple]]:
             gap = "none" if not g else "blank" if g.count("\n") > 1 else "line" if "\n" in g else "space"
             sh, month = "-", ""
             if kind == ".":
-                w = _PREV.search(text, max(0, a - 30), a).group().lower()
-                n = len(w)
-                if w in _BEFORE:
-                    sh = "before"
-                elif w in _EITHER:
-                    sh = "either"
-                elif n == 1 and w.isalpha():
-                    sh = "initial" if text[a - 1].isupper() else "one"
-                elif w[:1].isdigit() and w.translate(_NUMBER).isdigit():
+                near = text[a - 30 if a > 30 else 0 : a]
+                broken = near[-1:] == "\n"  # the word may end the line before
+                if broken:
+                    near = near[:-1]
+                sh, n = shape(near.rsplit(None, 1)[-1]) if near and not near[-1].isspace() else ("word", 0)
+                if broken and sh == "initial":
+                    sh = "one"
+                if sh == "num":
                     line_start = text.rfind("\n", line_start, a) + 1 or line_start
                     sh = "list" if not text[line_start : a - n].strip() else "ordinal" if n <= 2 else "num"
                     month = "month" if sh == "ordinal" and nc == "upper" and _MONTH.match(text, stop) else ""
-                else:
-                    sh = "dotted" if "." in w else "word"
             q = "in" if depth.marks and not c and depth.at(a) else "closed" if c else "out"
             out.append((end, ("k", kind, sh, gap, nc, month, q, c[-1:])))
         elif kind_of == "n":
             line_start = text.rfind("\n", line_start, a) + 1 or line_start
             line = text[line_start:a]
-            gap = "blank" if m["n"].count("\n") > 1 else "line"
+            gap = "blank" if text.count("\n", a, stop) > 1 else "line"
             head = "head" if _HEAD.match(line) else "bar" if "|" in line else "code" if " " not in line.strip() else "long" if len(line) > 38 else "short"
             out.append((a, ("n", gap, head, _class(nxt), _class(text[a - 1 : a]), "in" if depth.marks and depth.at(a) else "out")))
         else:
@@ -410,6 +437,12 @@ def pack(t: Tagger) -> tuple[tuple, tuple]:
     return tuple(sorted(t.w.items(), key=repr)), tuple(map(tuple, t.chain.tolist()))
 
 
+def once(f):
+    """The function for the planner to leave where it is: an explode or a filter of its result
+    would otherwise be a second run of it, over all rows, below the first."""
+    return f.asNondeterministic()
+
+
 def unit_ends(spark: SparkSession, df: DataFrame, tagger: Tagger, text: str = "text", out: str = "ends") -> DataFrame:
     shared = spark.sparkContext.broadcast(pack(tagger))
 
@@ -418,4 +451,4 @@ def unit_ends(spark: SparkSession, df: DataFrame, tagger: Tagger, text: str = "t
         t = _tagger(*shared.value)
         return pd.Series([t.ends(x) for x in texts], dtype=object)
 
-    return df.withColumn(out, ends(F.col(text)))
+    return df.withColumn(out, once(ends)(F.col(text)))

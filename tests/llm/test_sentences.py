@@ -111,3 +111,26 @@ def test_one_pass_per_character_class():
     assert sentences._Depth("a.\n\nb. c").marks == [] and sentences._Depth("é.\n\nb").marks == []
     assert sentences._Depth("“a.\n\nb”").marks
     assert sentences._class.cache_info().maxsize and sentences.Tagger().decode([]) == []
+
+
+def test_taggers_run_once_a_row(spark, frame, rows):
+    """Neither a filter nor an explode of a tagger's result makes it run a second time."""
+    from pyspark.sql import functions as F
+
+    t = S.Tagger()
+    fitted = S.pack(t), L.train(rows)
+    df = frame([(1, "fr", "We came. You left.")], "k long, lang string, text string").repartition(2)
+    runs = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert runs(L.relabel(spark, df, fitted).select("k", "lang")) == 1
+    assert runs(L.segments(spark, df, fitted).select("k", F.explode("segments"))) == 1
+    assert runs(S.unit_ends(spark, df, t).select("k", F.explode("ends"))) == 1
+
+
+def test_candidates_as_by_the_full_pattern(monkeypatch):
+    """Texts without Thai letters are read by a shorter pattern, with the same result."""
+    texts = ["a. B\n\nc?” „D“ e.g. 5 \n", "Mr. A.\n. B. 12.\n . 3. Mai x.1 . »", "他来了。“好！”\n अ। b… «c» . »d \n　e", " \n1. x\x1c\n\n.", "5 a 6 7. B 天气很好"]
+    short = [S.candidates(x) for x in texts]
+    assert all(short)
+    for name in ("_PLAIN", "_ASCII"):
+        monkeypatch.setattr(S, name, S._CAND)
+    assert [S.candidates(x) for x in texts] == short
