@@ -21,20 +21,23 @@ def _hashing(dimensions: int):
     cache: dict[str, int] = {}
 
     def slot(gram: str) -> int:
-        h = cache.get(gram)
-        if h is None:
-            if len(cache) > 300_000:
-                cache.clear()
-            cache[gram] = h = xxhash.xxh3_64_intdigest(gram)
-        return h
+        """The gram's dimension; those of negative sign come after all others."""
+        if len(cache) > 300_000:
+            cache.clear()
+        h = xxhash.xxh3_64_intdigest(gram)
+        cache[gram] = s = h % dimensions + (0 if h >> 63 else dimensions)
+        return s
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions), np.float64)
+        out, known = np.zeros((len(texts), dimensions), np.float64), cache.get
         for i, t in enumerate(texts):
             words = _TOKEN.findall(t.lower())
-            h = np.array([slot(g) for g in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:])))], np.uint64)
-            if len(h):
-                np.add.at(out[i], (h % np.uint64(dimensions)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0))
+            grams = words + list(map(" ".join, zip(words, words[1:])))
+            slots = list(map(known, grams))
+            if None in slots:
+                slots = [slot(g) if s is None else s for g, s in zip(grams, slots)]
+            n = np.bincount(slots, minlength=2 * dimensions) if slots else np.zeros(2 * dimensions)
+            out[i] = n[:dimensions] - n[dimensions:]
         out = np.sign(out) * np.log1p(np.abs(out))
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(size > 0, size, 1)).astype(np.float32)

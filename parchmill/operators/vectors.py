@@ -11,6 +11,7 @@ score and are not returned; ties are ranked by the vector's key; a zero vector s
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -25,6 +26,9 @@ from ..session import cut
 QUERY_BLOCK, BLOCKS, TILE = 4096, 6, 1024
 #: More than sums in another order, and rounding to twelve places, can make of a score.
 SLACK = 1e-11
+#: Candidates whose exact scores are summed at a time, and the lengths of vectors for which
+#: scores are first estimated in single precision.
+EXACT, LENGTHS = 1024, (1e-12, 1e12)
 #: Of a CellIndex: the recall that its probes are measured for, on so many queries and neighbours.
 RECALL, TUNE, TUNE_K = 0.97, 256, 10
 
@@ -47,49 +51,83 @@ def dimension(v: Column) -> Column:
     return F.size(v)
 
 
-def _rank(cost: np.ndarray, keys: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k lowest costs of every row, ties by key."""
+def _rank(cost: np.ndarray, keys: np.ndarray, row: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Places of the k[row] lowest costs of every row, ties by key."""
     order = np.lexsort((np.unique(keys, return_inverse=True)[1] if keys.dtype == object else keys, cost, row))
     sorted_row = row[order]
-    return order[np.arange(len(order)) - np.searchsorted(sorted_row, sorted_row) < k]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_row, sorted_row) < k[sorted_row]]
 
 
 class _Best:
-    """The k best vectors of each query of a block so far. ``least`` is what a query's next
-    one must reach; sums in another order differ by less than SLACK."""
-
-    def __init__(self, ids: list, q: np.ndarray, k: int, metric: str):
-        self.ids, self.q, self.k, self.metric = ids, q, k, metric
-        self.least = np.full(len(q), -np.inf)
+    """The best vectors of each query of a block so far, ``k`` or its own ``depth`` of them,
+    none below its ``floor``. ``least`` is what a query's next one must reach; sums in another
+    order differ by less than SLACK. Inner products are estimated in single precision, with
+    a bound of the error, and the exact ones are summed of those that may reach it."""
+
+    def __init__(self, ids: list, q: np.ndarray, k: int, metric: str, floor: np.ndarray | None = None, depth: np.ndarray | None = None):
+        self.ids, self.q, self.metric = ids, q, metric
+        self.depth = np.full(len(q), k) if depth is None else np.minimum(depth, k)
+        self.k = int(self.depth.max())
+        self.least = np.full(len(q), -np.inf) if floor is None else floor.astype(np.float64)
+        size = _lengths(q)
+        self.rough = q.astype(np.float32, copy=False) if metric == "ip" and _usual(size) else None
+        self.error = (q.shape[1] + 8) * float(np.finfo(np.float32).eps) * size
         self.kept, self.found, self.waiting = None, [], 0
 
-    def add(self, asked: np.ndarray, keys: np.ndarray, m: np.ndarray) -> None:
-        q = self.q[asked].astype(np.float64)
-        good = q @ m.T
-        if self.metric == "l2":
-            good = -((q * q).sum(1)[:, None] - 2 * good + (m * m).sum(1)[None])
+    def add(self, asked: np.ndarray, keys: np.ndarray, m: np.ndarray, size: np.ndarray) -> None:
         least = self.least[asked]
         new = ~np.isfinite(least)
-        if new.any():
-            n = min(self.k, len(m))
-            least[new] = np.partition(good[new], len(m) - n, axis=1)[:, len(m) - n]
-        r, col = np.nonzero(good >= (least - SLACK)[:, None])
+        n = min(self.k, len(m))
+        if self.rough is not None and _usual(size):
+            all_asked = len(asked) == len(self.q)
+            good = (self.rough if all_asked else self.rough[asked]) @ m.astype(np.float32, copy=False).T
+            error = self.error[asked] * size.max()
+            if new.any():
+                least[new] = np.partition(good[new], len(m) - n, axis=1)[:, len(m) - n] - 2 * error[new]
+            r, col = _reaching(good, least - error)
+            many = np.bincount(r, minlength=len(asked)) > self.depth[asked]
+            if many.any():  # so many here that they raise what is to be reached
+                for d in np.unique(self.depth[asked[many]]):
+                    x = np.flatnonzero(many & (self.depth[asked] == d))
+                    least[x] = np.maximum(least[x], np.partition(good[x], len(m) - d, axis=1)[:, len(m) - d] - error[x])
+                    self.least[asked[x]] = least[x]
+                keep = good[r, col] >= (least - error - SLACK)[r]
+                r, col = r[keep], col[keep]
+            good = self._exact(asked[r], m, col)
+            some = good >= (least - SLACK)[r]
+            r, col, good = r[some], col[some], good[some]
+        else:
+            q, m = self.q[asked].astype(np.float64), m.astype(np.float64)
+            good = q @ m.T
+            if self.metric == "l2":
+                good = -((q * q).sum(1)[:, None] - 2 * good + (m * m).sum(1)[None])
+            if new.any():
+                least[new] = np.partition(good[new], len(m) - n, axis=1)[:, len(m) - n]
+            r, col = np.nonzero(good >= (least - SLACK)[:, None])
+            good = good[r, col]
         if len(r):
-            self.found.append((asked[r], keys[col], good[r, col]))
+            self.found.append((asked[r], keys[col], good))
             self.waiting += len(r)
-        if self.waiting > 2 * self.k * len(self.q) or len(r) and new.any():
+        if self.waiting > self.depth.sum() or len(r) and new.any():
             self.merge()
 
+    def _exact(self, rows: np.ndarray, m: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        out, q, m = np.empty(len(rows)), self.q.astype(np.float64), m.astype(np.float64)
+        for a in range(0, len(rows), EXACT):
+            part = slice(a, a + EXACT)
+            out[part] = np.einsum("ij,ij->i", q[rows[part]], m[cols[part]])
+        return out
+
     def merge(self) -> None:
         if not self.found:
             return
         row, keys, good = (np.concatenate(x) for x in zip(*([self.kept] if self.kept else []), *self.found))
-        keep = _rank(-np.round(good, 12), keys, row, self.k)
+        keep = _rank(-np.round(good, 12), keys, row, self.depth)
         row, keys, good = self.kept = row[keep], keys[keep], good[keep]
         self.found, self.waiting = [], 0
         last = np.flatnonzero(np.diff(row, append=-1))
-        full = last[np.diff(last, prepend=-1) == self.k]
-        self.least[row[full]] = good[full]
+        full = last[np.diff(last, prepend=-1) == self.depth[row[last]]]
+        self.least[row[full]] = np.maximum(self.least[row[full]], good[full])
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         self.merge()
@@ -99,7 +137,39 @@ class _Best:
         return np.asarray(self.ids)[row], keys, good if self.metric == "ip" else -good
 
 
-def _best_of(vectors: DataFrame, shared, k: int, metric: str, key: str, vec: str, schema: str, cell: str | None = None) -> DataFrame:
+def _reaching(good: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the estimates that reach their row's ``least``, which is rounded down."""
+    return np.nonzero(good >= np.nextafter((least - SLACK).astype(np.float32), np.float32(-np.inf))[:, None])
+
+
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64))
+
+
+def _usual(size: np.ndarray) -> bool:
+    """Whether products in single precision neither overflow nor vanish."""
+    return bool(((size == 0) | (size > LENGTHS[0]) & (size < LENGTHS[1])).all())
+
+
+def _kind(df: DataFrame, vec: str) -> type:
+    return np.float32 if dict(df.dtypes)[vec] == "array<float>" else np.float64
+
+
+def _pack(v: Column, kind: type) -> Column:
+    """Vectors as bytes, exactly; null stays null."""
+
+    @F.pandas_udf("binary")
+    def pack(vs: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else zlib.compress(np.asarray(x, kind).tobytes(), 1) for x in vs], dtype=object)
+
+    return pack(v)
+
+
+def _unpack(v: bytes | np.ndarray | None, kind: type) -> np.ndarray | None:
+    return np.frombuffer(zlib.decompress(v), kind) if isinstance(v, bytes) else v
+
+
+def _best_of(vectors: DataFrame, shared, k: int, metric: str, key: str, vec: str, schema: str, kind: type, cell: str | None = None) -> DataFrame:
     """The k best vectors of every query within each partition: tiles of vectors are scored
     against blocks of queries by matrix products, and what they leave is merged into the best
     so far, so that a partition gives k rows a query whatever its size. With ``cell``, only
@@ -107,14 +177,16 @@ def _best_of(vectors: DataFrame, shared, k: int, metric: str, key: str, vec: str
     qkey = schema.split()[0]
 
     def score(batches):
-        blocks = [(_Best(ids, q, k, metric), probes) for ids, q, probes in shared.value]
+        blocks = [(_Best(ids, q, k, metric, *bounds), probes) for ids, q, bounds, probes in shared.value]
         for pdf in batches:
-            size = np.array([-1 if v is None else len(v) for v in pdf[vec]])
+            all_of = [_unpack(v, kind) for v in pdf[vec]]
+            size = np.array([-1 if v is None else len(v) for v in all_of])
             for width in {b.q.shape[1] for b, _ in blocks}:
                 ok = np.flatnonzero(size == width)
                 if not len(ok):
                     continue
-                keys, m = pdf[key].to_numpy()[ok], np.stack(pdf[vec].iloc[ok].to_list()).astype(np.float64)
+                keys, m = pdf[key].to_numpy()[ok], np.stack([all_of[i] for i in ok]).astype(kind)
+                length = _lengths(m)
                 tiles = [(None, np.arange(a, min(a + TILE, len(m)))) for a in range(0, len(m), TILE)]
                 if cell:
                     at = pdf[cell].to_numpy()[ok]
@@ -128,52 +200,63 @@ def _best_of(vectors: DataFrame, shared, k: int, metric: str, key: str, vec: str
                     for c, mine in tiles:
                         asked = everyone if c is None else np.asarray(probes.get(c, ()), np.int64)
                         if len(asked):
-                            b.add(asked, keys[mine], m[mine])
+                            b.add(asked, keys[mine], m[mine], length[mine])
         for b, _ in blocks:
             if (got := b.rows()) is not None:
                 yield pd.DataFrame(dict(zip((qkey, key, "score"), got)))
 
     columns = [key, vec, *([cell] if cell else [])]
-    return vectors.where(F.col(vec).isNotNull()).select(*columns).mapInPandas(score, schema)
+    # No filter on the vectors: it would make an embedder below run twice.
+    return vectors.select(*columns).mapInPandas(score, schema)
 
 
-def _in_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, qkey: str, key: str, qvec: str, vec: str, cell: str | None = None, probed=None) -> DataFrame:
+def _in_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, qkey: str, key: str, qvec: str, vec: str, cell: str | None = None, probed=None, bounds: tuple[str, str] | None = None) -> DataFrame:
     """Queries go out in blocks of QUERY_BLOCK rows of one dimension, BLOCKS of them to a scan;
-    a window ranks what the partitions leave. Where there are more, each scan's result is
-    written before the next one is planned, so that the driver holds the queries and the plan
-    of one. ``probed`` gives the cells of a block's queries."""
+    a window ranks what the partitions leave. Where there are more, the vectors are written
+    once, packed, and each scan's result before the next one is planned, so that the driver
+    holds the queries and the plan of one. ``probed`` gives the cells of a block's queries.
+    ``bounds`` names the columns of a query's lowest score and number of vectors: those
+    beyond may be missing, or stand at another rank."""
     spark = queries.sparkSession
     qtype, ktype = dict(queries.dtypes)[qkey], dict(vectors.dtypes)[key]
     schema = f"{qkey} {qtype}, {key} {ktype}, score double"
-    kind = np.float32 if dict(queries.dtypes)[qvec] == "array<float>" else np.float64
+    kind, kind_of_vectors = _kind(queries, qvec), _kind(vectors, vec)
     best = F.round("score", 12)
     w = Window.partitionBy(qkey).orderBy(best.desc() if metric == "ip" else best.asc(), key)
+    clean = queries.where(F.col(qvec).isNotNull() & (F.size(qvec) > 0)).select(qkey, _pack(F.col(qvec), kind).alias("_q"), *(bounds or ()))
+    n = clean.count()
+    if several := n > QUERY_BLOCK * BLOCKS:
+        vectors = cut(vectors.select(key, _pack(F.col(vec), kind_of_vectors).alias(vec), *([cell] if cell else [])))
     # A partition leaves k rows a query, so there are no more partitions than cores.
     vectors = vectors.coalesce(spark.sparkContext.defaultParallelism)
 
     def scan(blocks: list) -> tuple:
-        shared = spark.sparkContext.broadcast([(ids, q, probed(q.astype(np.float64)) if probed else None) for ids, q in blocks])
-        found = _best_of(vectors, shared, k, metric, key, vec, schema, cell)
+        shared = spark.sparkContext.broadcast([(ids, q, b, probed(q.astype(np.float64)) if probed else None) for ids, q, b in blocks])
+        found = _best_of(vectors, shared, k, metric, key, vec, schema, kind_of_vectors, cell)
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(qkey, "rank", key, "score"), shared
 
+    def block(ids: list, rows: list, ends: list) -> tuple:
+        return ids, np.stack(rows), tuple(np.array(x) for x in zip(*ends)) if bounds else ()
+
     parts, blocks, held = [], [], {}
-    clean = queries.where(F.col(qvec).isNotNull() & (F.size(qvec) > 0)).select(qkey, qvec)
     # The driver takes a partition at a time, so these have a block's rows.
-    clean = clean.repartition(max(1, -(-clean.count() // QUERY_BLOCK)))
+    clean = clean.repartition(max(1, -(-n // QUERY_BLOCK)))
     for r in clean.toLocalIterator():
-        ids, rows = held.setdefault(len(r[1]), ([], []))
-        ids.append(r[0]), rows.append(np.asarray(r[1], kind))
+        v = _unpack(bytes(r[1]), kind)
+        ids, rows, ends = held.setdefault(len(v), ([], [], []))
+        ids.append(r[0]), rows.append(v), ends.append(r[2:])
         if len(rows) == QUERY_BLOCK:
             if len(blocks) == BLOCKS:
                 part, shared = scan(blocks)
                 parts.append(cut(part))
                 shared.destroy()
                 blocks = []
-            blocks.append((ids, np.stack(rows)))
-            del held[len(r[1])]
-    blocks += [(ids, np.stack(rows)) for ids, rows in held.values()]
+            blocks.append(block(ids, rows, ends))
+            del held[len(v)]
+    blocks += [block(*x) for x in held.values()]
     if blocks:
-        parts.append(scan(blocks)[0])
+        last = scan(blocks)[0]
+        parts.append(cut(last) if several else last)
     if not parts:
         return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {key} {ktype}, score double")
     return reduce(DataFrame.unionByName, parts)
@@ -212,7 +295,11 @@ def retrieve_routed(questions: DataFrame, vectors: DataFrame, text: str = "quest
     qkey = names.get("qkey", "qid")
     deepest = max(cfg.summary_least_k, cfg.summary_factor_k * cfg.top_k, cfg.top_k + cfg.retry_more_k)
     routed = questions.select(qkey, text).withColumns(routes(F.col(text), cfg)).drop(text)
-    found = search(questions, vectors, deepest, **names).join(routed, qkey)
+    qvec, key, vec = names.get("qvec", "qvec"), names.get("key", "vec_id"), names.get("vec", "embedding")
+    # Rows that neither try takes need not be found.
+    asked = questions.select(qkey, qvec, text).withColumns(routes(F.col(text), cfg))
+    asked = asked.select(qkey, qvec, F.least("min_score", "retry_min_score").cast("double").alias("_floor"), F.greatest("k", "retry_k").cast("int").alias("_depth"))
+    found = _in_blocks(asked, vectors, deepest, "ip", qkey, key, qvec, vec, bounds=("_floor", "_depth")).join(routed, qkey)
     found = found.withColumns({"first": (F.col("rank") <= F.col("k")) & (F.col("score") >= F.col("min_score")), "retry": (F.col("rank") <= F.col("retry_k")) & (F.col("score") >= F.col("retry_min_score"))})
     return found.where("first or retry")
 

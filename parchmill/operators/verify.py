@@ -55,9 +55,10 @@ def entities(text: Column) -> Column:
 
 
 def unsupported(answer_entities: Column, context: Column) -> Column:
-    """Facts that are neither facts nor part of the text of the context."""
-    both = F.struct(entities(context).alias("known"), F.lower(context).alias("low"))
-    return let(both, lambda c: F.filter(answer_entities, lambda e: ~(F.array_contains(c["known"], e) | F.contains(c["low"], e))))
+    """Facts that are neither facts nor part of the text of the context. Its own facts are
+    only looked for where the text lacks some."""
+    lacking = let(F.lower(context), lambda low: F.filter(answer_entities, lambda e: ~F.contains(low, e)))
+    return let(lacking, lambda m: F.when(F.size(m) > 0, let(entities(context), lambda known: F.filter(m, lambda e: ~F.array_contains(known, e)))).otherwise(m))
 
 
 def entity_coverage(answer: Column, context: Column) -> Column:

@@ -56,3 +56,28 @@ def test_reader_failures(spark):
 
 def test_prompts():
     assert "between 7 and 10" in generate.system_prompt() and "between 15 and 30" in generate.system_prompt("notebook", 5)
+
+
+def test_no_question_is_read_twice(spark, tmp_path):
+    """Questions of one text share their answer; what passed at first is not tried again."""
+    from dataclasses import replace
+
+    from parchmill.plans.config import PROFILES
+
+    calls = str(tmp_path / "calls")
+
+    def counted():
+        def read(system, prompt, question, context):
+            with open(calls, "a") as f:
+                f.write(question + "\n")
+            return "Mars has two moons named Phobos and Deimos." if "harvest" in question else context.split(".")[0] + "."
+
+        return read
+
+    generate.READERS["counted"] = counted
+    rows = [(1, "What is the canal fee for each field?"), (2, "What is the canal fee for each field?"), (3, "bridge toll waived after the harvest month")]
+    q = spark.createDataFrame(rows, "qid long, question string")
+    got = {r["qid"]: r for r in pipeline.answer_questions(q, index(spark).cache(), replace(PROFILES["module"], reader="counted")).collect()}
+    assert sorted(open(calls).read().splitlines()) == [rows[0][1], rows[2][1], rows[2][1]]
+    assert got[1]["passed"] and got[1]["answer"] == got[2]["answer"] and got[1]["attempt"] == got[2]["attempt"] == 1
+    assert not got[3]["passed"] and got[3]["attempt"] == 2 and got[3]["answer"] == NOT_FOUND

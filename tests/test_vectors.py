@@ -117,3 +117,40 @@ def test_scans_of_a_few_blocks_each(spark, monkeypatch):
         cost = -(m[:25] @ m.T) if metric == "ip" else ((m[:25, None] - m[None]) ** 2).sum(2)
         assert got == {i: np.lexsort((np.arange(60), c))[:5].tolist() for i, c in enumerate(cost)}
         assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") <= 1
+
+
+def test_estimates_lose_no_vector():
+    """Scores that single precision cannot tell apart, of any length, with own bounds."""
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 1e-20, 1e20, 1e-9):
+        m = rng.normal(size=(700, 24)) * scale
+        m[300:600] = m[:300] * (1 + 1e-9 * rng.normal(size=(300, 1)))
+        m[600:650], m[650:] = m[:50], 0
+        q = rng.normal(size=(40, 24))
+        exact = np.round(q @ m.T, 12)
+        for floor, depth in ((None, None), (np.full(40, 0.5 * scale), rng.integers(1, 9, 40))):
+            b = vectors._Best(list(range(40)), q, 8, "ip", floor, depth)
+            for a in range(0, 700, 64):
+                b.add(np.arange(40), np.arange(a, min(a + 64, 700)), m[a : a + 64], vectors._lengths(m[a : a + 64]))
+            got = {(int(r), int(c)) for r, c, _ in zip(*b.rows())}
+            want = set()
+            for i in range(40):
+                order = [c for c in np.lexsort((np.arange(700), -exact[i])) if floor is None or exact[i, c] >= floor[i]]
+                want |= {(i, int(c)) for c in order[: 8 if depth is None else depth[i]]}
+            assert want <= got and len(got) <= 40 * 8
+
+
+def test_vectors_are_written_once(spark, monkeypatch):
+    """With more queries than a scan takes, an embedder below runs once for each vector."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vectors, "BLOCKS", 2)
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def made(k):
+        runs.add(len(k))
+        return k.map(lambda i: [float(i % 7), float(i % 5), 1.0])
+
+    v = spark.range(50).select(F.col("id").alias("vec_id")).withColumn("embedding", made("vec_id"))
+    q = spark.createDataFrame([(i, [float(i), 1.0, -1.0]) for i in range(30)], "qid long, qvec array<double>")
+    assert vectors.search(q, v, 3).count() == 90 and runs.value == 50
