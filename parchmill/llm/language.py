@@ -63,11 +63,11 @@ def label_of(label: str | None) -> str | None:
 
 
 @functools.lru_cache(maxsize=200_000)
-def word_grams(word: str) -> tuple[int, ...]:
-    """The n-grams present in a word, as slots."""
+def word_grams(word: str) -> np.ndarray:
+    """The n-grams present in a word, as slots; four bytes each, as many words are kept."""
     w = f"\x02{word}\x03"
     grams = {w[i : i + n] for n in range(1, ORDER + 1) for i in range(len(w) - n + 1)} - {"\x02", "\x03"}
-    return tuple({xxhash.xxh3_64_intdigest(g) >> (64 - BITS) for g in grams})
+    return np.array(list({xxhash.xxh3_64_intdigest(g) >> (64 - BITS) for g in grams}), np.int32)
 
 
 def plain(token: str) -> str:
@@ -132,7 +132,7 @@ class Scorer:
             if p:
                 if i >= len(self.table):
                     self.table = np.vstack((self.table, np.zeros_like(self.table)))
-                g = list(word_grams(p))
+                g = word_grams(p)
                 self.table[i, :-1] = self.gram_rows[g].sum(0)
                 self.table[i, -1] = len(g)
                 self.known[token] = i

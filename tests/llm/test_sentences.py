@@ -134,3 +134,9 @@ def test_candidates_as_by_the_full_pattern(monkeypatch):
     for name in ("_PLAIN", "_ASCII"):
         monkeypatch.setattr(S, name, S._CAND)
     assert [S.candidates(x) for x in texts] == short
+
+
+def test_kept_words_are_small():
+    """The n-grams of a kept word take four bytes each; 200,000 words of a worker are kept."""
+    g = L.word_grams("representation")
+    assert g.nbytes == 4 * len(g) and len(set(g.tolist())) == len(g) > 50
